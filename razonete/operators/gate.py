@@ -21,7 +21,19 @@ REJECTED = "REJEITADO"
 
 
 def bad_files(validated: DataFrame, file_col: str = FILE_COL) -> DataFrame:
-    return validated.where(F.col(N_ERR_COL) > 0).select(file_col).distinct()
+    """Files with at least one faulty row.
+
+    Written as an aggregate filtered afterwards (a HAVING): the predicate on
+    the fault count cannot be pushed below the rule projection, so rules are
+    evaluated once per row in the parallel stage, and partial aggregation
+    reduces each file to one row per map task before the shuffle.
+    """
+    return (
+        validated.groupBy(file_col)
+        .agg(F.max(F.col(N_ERR_COL)).alias("_max_err"))
+        .where(F.col("_max_err") > 0)
+        .select(file_col)
+    )
 
 
 def accepted_rows(validated: DataFrame, file_col: str = FILE_COL) -> DataFrame:

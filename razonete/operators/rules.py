@@ -57,13 +57,22 @@ MAX_DESCRICAO = 100
 # -----------------------------------------------------------------------------
 
 
+PREP = "__n_"  # prefix of the columns holding normalised values during validation
+
+
 class Row:
-    """Column expressions a predicate may use; built once per batch schema."""
+    """Column expressions a predicate may use; built once per batch schema.
+
+    ``norm(field)`` is the field's normalised value. In *prepared* mode it is
+    a reference to a column computed once by a first projection, so a regex
+    used by several rules and by the output runs once per row.
+    """
 
-    def __init__(self, columns, profile: str, date_formats):
+    def __init__(self, columns, profile: str, date_formats, prepared: bool = False):
         self.present = set(columns)
         self.profile = profile
-        self.date_formats = tuple(date_formats)
+        self.date_formats = tuple(date_formats) or (dates.DAY_FIRST,)
+        self.prepared = prepared
 
     def raw(self, name: str) -> Column:
         return F.col(name) if name in self.present else F.lit(None).cast("string")
@@ -71,20 +80,42 @@ class Row:
     def has(self, name: str) -> bool:
         return name in self.present
 
-    # normalised values, shared by rules and by the output projection
+    def blank(self, name: str) -> Column:
+        return text.is_blank(self.raw(name))
+
+    def compute(self, name: str) -> Column:
+        """The normalised value of ``name`` as an expression over the raw column."""
+        c = self.raw(name)
+        if name == "FILIAL":
+            return text.zfill_branch(c)
+        if name == "DATA":
+            return dates.parse_date(c, self.date_formats)
+        if name == "VALOR":
+            return numbers.parse_valor_br(c) if self.profile == DOCUMENTED else numbers.parse_valor(c)
+        if name in ("OPERACAO", "DESCRICAO", "TIPO", "RATEIO"):
+            return text.squash_upper(c)
+        if name in ("ORIGEM", "VERSAO"):
+            return text.clean_text(c)
+        if name in ("N_CONTA", "N_CENTRO_CUSTO"):
+            return text.digits_only(c)
+        raise KeyError(name)
+
+    def norm(self, name: str) -> Column:
+        return F.col(PREP + name) if self.prepared else self.compute(name)
+
+    # shorthands used by the output projection
     def filial(self) -> Column:
-        return text.zfill_branch(self.raw("FILIAL"))
+        return self.norm("FILIAL")
 
     def data(self) -> Column:
-        return dates.parse_date(self.raw("DATA"), self.date_formats)
+        return self.norm("DATA")
 
     def valor(self) -> Column:
-        if self.profile == DOCUMENTED:
-            return numbers.parse_valor_br(self.raw("VALOR"))
-        return numbers.parse_valor(self.raw("VALOR"))
+        return self.norm("VALOR")
 
-    def blank(self, name: str) -> Column:
-        return text.is_blank(self.raw(name))
+
+NORMALISED_FIELDS = ["FILIAL", "DATA", "VALOR", "OPERACAO", "DESCRICAO", "TIPO", "RATEIO", "ORIGEM",
+                     "VERSAO", "N_CONTA", "N_CENTRO_CUSTO"]
 
 
 @dataclass(frozen=True)
@@ -122,20 +153,19 @@ def _valor_invalid(r: Row) -> Column:
 
 
 def _operacao_len(r: Row) -> Column:
-    return ~r.blank("OPERACAO") & (F.length(text.squash_upper(r.raw("OPERACAO"))) > MAX_OPERACAO)
+    return ~r.blank("OPERACAO") & (F.length(r.norm("OPERACAO")) > MAX_OPERACAO)
 
 
 def _rateio(r: Row) -> Column:
-    return ~r.blank("RATEIO") & ~text.squash_upper(r.raw("RATEIO")).isin(RATEIO_ALLOWED)
+    return ~r.blank("RATEIO") & ~r.norm("RATEIO").isin(RATEIO_ALLOWED)
 
 
 def _origem_len(r: Row) -> Column:
-    return ~r.blank("ORIGEM") & (F.length(text.clean_text(r.raw("ORIGEM"))) > MAX_ORIGEM)
+    return ~r.blank("ORIGEM") & (F.length(r.norm("ORIGEM")) > MAX_ORIGEM)
 
 
 def _conta_digits(r: Row) -> Column:
-    c = r.raw("N_CONTA")
-    return c.isNotNull() & (F.length(text.digits_only(c)) != 8)
+    return r.raw("N_CONTA").isNotNull() & (F.length(r.norm("N_CONTA")) != 8)
 
 
 def _cc_null(r: Row) -> Column:
@@ -144,13 +174,11 @@ def _cc_null(r: Row) -> Column:
 
 
 def _cc_digits(r: Row) -> Column:
-    cc = r.raw("N_CENTRO_CUSTO")
-    return cc.isNotNull() & (F.length(text.digits_only(cc)) != 9)
+    return r.raw("N_CENTRO_CUSTO").isNotNull() & (F.length(r.norm("N_CENTRO_CUSTO")) != 9)
 
 
 def _versao_pattern(r: Row) -> Column:
-    v = r.raw("VERSAO")
-    return v.isNotNull() & ~text.clean_text(v).rlike(VERSAO_PATTERN)
+    return r.raw("VERSAO").isNotNull() & ~r.norm("VERSAO").rlike(VERSAO_PATTERN)
 
 
 def _valor_positive(r: Row) -> Column:
@@ -162,7 +190,7 @@ def _valor_decimals(r: Row) -> Column:
 
 
 def _descricao_len(r: Row) -> Column:
-    return ~r.blank("DESCRICAO") & (F.length(text.squash_upper(r.raw("DESCRICAO"))) > MAX_DESCRICAO)
+    return ~r.blank("DESCRICAO") & (F.length(r.norm("DESCRICAO")) > MAX_DESCRICAO)
 
 
 # Order = reference row-loop order (FILIAL, TIPO, DATA, VALOR, DESCRICAO,

@@ -17,9 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import dates
 from ..schema import FILE_COL, RAW_COLUMNS
-from .rules import AS_CODED, CATALOGUE, DOCUMENTED, Row
+from .rules import AS_CODED, CATALOGUE, DOCUMENTED, NORMALISED_FIELDS, PREP, Row
 
 ERR_COL = "ERROS"
 N_ERR_COL = "N_ERROS"
@@ -33,6 +33,9 @@ def error_struct(field: str, rule_id: str, message: str) -> Column:
     )
 
 
+ERROR_TYPE = "array<struct<CAMPO:string,REGRA:string,MENSAGEM:string>>"
+
+
 def apply_rules(
     df: DataFrame,
     profile: str = AS_CODED,
@@ -45,8 +48,15 @@ def apply_rules(
     unknown extras) pass through unchanged. Optional columns missing from the
     batch are created empty, TIPO defaults to ``ORCADO``. Invalid cells keep
     their original text (dates and numbers that do not parse become null).
+
+    Two projections: the first computes each normalised value once (regexes,
+    date and number parsing), the second evaluates the rules on those columns
+    and builds the fault array with ``concat`` of one-element arrays, so the
+    whole step stays inside whole-stage codegen (no lambda functions).
     """
-    row = Row(df.columns, profile, date_formats)
+    row = Row(df.columns, profile, date_formats, prepared=True)
+    plain = Row(df.columns, profile, date_formats)
+    prepared = df.select("*", *[plain.compute(f).alias(PREP + f) for f in NORMALISED_FIELDS])
     active = [r for r in (rules if rules is not None else CATALOGUE) if r.applies(row)]
     fails = [(r, r.fails(row)) for r in active]
 
@@ -56,25 +66,28 @@ def apply_rules(
         "DATA": row.data(),
         "N_CONTA": row.raw("N_CONTA"),
         "N_CENTRO_CUSTO": row.raw("N_CENTRO_CUSTO"),
-        "OPERACAO": F.when(row.blank("OPERACAO"), F.lit("")).otherwise(text.squash_upper(row.raw("OPERACAO"))),
+        "OPERACAO": F.when(row.blank("OPERACAO"), F.lit("")).otherwise(row.norm("OPERACAO")),
         "VALOR": row.valor(),
-        "DESCRICAO": text.squash_upper(row.raw("DESCRICAO")),
-        "TIPO": text.default_tipo(row.raw("TIPO")),
-        "VERSAO": text.clean_text(row.raw("VERSAO")) if profile == DOCUMENTED else row.raw("VERSAO"),
-        "RATEIO": text.normalize_rateio(row.raw("RATEIO")),
-        "ORIGEM": F.when(row.blank("ORIGEM"), F.lit("")).otherwise(text.clean_text(row.raw("ORIGEM"))),
+        "DESCRICAO": row.norm("DESCRICAO"),
+        "TIPO": F.when(row.blank("TIPO"), F.lit("ORCADO")).otherwise(row.norm("TIPO")),
+        "VERSAO": row.norm("VERSAO") if profile == DOCUMENTED else row.raw("VERSAO"),
+        "RATEIO": F.when(row.blank("RATEIO"), F.lit(""))
+                   .when(row.norm("RATEIO") == F.lit("NÃO"), F.lit("NAO"))
+                   .otherwise(row.norm("RATEIO")),
+        "ORIGEM": F.when(row.blank("ORIGEM"), F.lit("")).otherwise(row.norm("ORIGEM")),
     }
+    none = F.array().cast(ERROR_TYPE)
     if fails:
-        errors = F.filter(
-            F.array(*[F.when(bad, error_struct(r.field, r.rule_id, r.message)) for r, bad in fails]),
-            lambda e: e.isNotNull(),
-        )
+        errors = F.concat(*[
+            F.when(bad, F.array(error_struct(r.field, r.rule_id, r.message))).otherwise(none) for r, bad in fails
+        ]) if len(fails) > 1 else F.when(fails[0][1], F.array(error_struct(
+            fails[0][0].field, fails[0][0].rule_id, fails[0][0].message))).otherwise(none)
         n_errors = reduce(lambda a, b: a + b, [bad.cast("int") for _, bad in fails])
     else:
-        errors = F.array().cast("array<struct<CAMPO:string,REGRA:string,MENSAGEM:string>>")
+        errors = none
         n_errors = F.lit(0)
     passthrough = [F.col(c) for c in df.columns if c not in normalised]
-    return df.select(
+    return prepared.select(
         *passthrough,
         *[normalised[c].alias(c) for c in RAW_COLUMNS],
         errors.alias(ERR_COL),
@@ -82,6 +95,11 @@ def apply_rules(
     )
 
 
+def error_text(sep: str = "; ") -> Column:
+    """The row's fault messages joined into one string ('' when none)."""
+    return F.concat_ws(sep, F.col(f"{ERR_COL}.MENSAGEM"))
+
+
 def faulty(df: DataFrame) -> Column:
     """Predicate for rows with at least one fault (works after ``apply_rules``)."""
     return F.col(N_ERR_COL) > 0

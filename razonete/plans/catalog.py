@@ -25,6 +25,7 @@ from ..operators import rules as R
 from ..operators import validate as V
 from ..operators.project import assign_version, cast_strings, fill_nulls, to_ledger
 from ..schema import FILE_COL, LEDGER_COLUMNS, RAW_COLUMNS, normalize_headers
+from ..session import spread
 from . import fixtures as fx
 from . import oracle as O
 
@@ -93,7 +94,7 @@ def _with_text(v: DataFrame) -> DataFrame:
     return v.select(
         FILE_COL, *NORM,
         F.col(V.N_ERR_COL).cast("long").alias("N_ERROS"),
-        F.concat_ws("; ", F.transform(V.ERR_COL, lambda e: e["MENSAGEM"])).alias("ERROS_TXT"),
+        V.error_text().alias("ERROS_TXT"),
     )
 
 
@@ -111,7 +112,7 @@ def _rule_check(spark, sf, profile, pick, outputs) -> DataFrame:
     return v.select(
         *outputs(v),
         F.col(V.N_ERR_COL).cast("long").alias("N_ERROS"),
-        F.concat_ws("; ", F.transform(V.ERR_COL, lambda e: e["MENSAGEM"])).alias("ERROS_TXT"),
+        V.error_text().alias("ERROS_TXT"),
     )
 
 
@@ -267,13 +268,13 @@ def q_assign_version(spark, sf):
 # ================================================= N: scalar normalisers
 @register("clean_text", f"SELECT doc_id, {O.clean('text')} AS TEXTO FROM documents")
 def q_clean_text(spark, sf):
-    d = fx.table(spark, sf, "documents")
+    d = spread(fx.table(spark, sf, "documents"))
     return d.select("doc_id", text.clean_text("text").alias("TEXTO"))
 
 
 @register("squash_upper", f"SELECT doc_id, {O.squash_upper('text')} AS TEXTO FROM documents")
 def q_squash_upper(spark, sf):
-    d = fx.table(spark, sf, "documents")
+    d = spread(fx.table(spark, sf, "documents"))
     return d.select("doc_id", text.squash_upper("text").alias("TEXTO"))
 
 
@@ -837,6 +838,13 @@ SELECT VERSAO, FILIAL, CAST(grouping(VERSAO, FILIAL) AS INTEGER) AS NIVEL, count
 FROM ({_TO_LEDGER_SQL}) GROUP BY ROLLUP (VERSAO, FILIAL)
 """)
 def q_totals_by_category(spark, sf):
+    out = RP.totals_of_accepted(_validated(spark, sf, fx.LOT_BY_ORDER))
+    return out.withColumn("TOTAL_VALOR", F.col("TOTAL_VALOR").cast("decimal(38,2)"))
+
+
+@register("totals_by_category_rows", ORACLE["totals_by_category"])
+def q_totals_by_category_rows(spark, sf):
+    """The same report through the row-level path (gate, ledger projection, rollup)."""
     out = RP.totals_by_category(_accepted_ledger(spark, sf))
     return out.withColumn("TOTAL_VALOR", F.col("TOTAL_VALOR").cast("decimal(38,2)"))
 

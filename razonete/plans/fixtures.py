@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 # Raw, untyped budget lines with injected faults (one per lineitem row).
 RAW_SQL = """
 SELECT
@@ -94,7 +96,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str, lot: str = LOT_BY_SUPPLIER) -> DataFrame:
-    return spark.sql(RAW_SQL.format(lot=lot, lineitem="{lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    # the raw lines feed CPU-heavy normalisation: make sure they are spread over the cores
+    lineitem = spread(table(spark, sf_dir, "lineitem"))
+    return spark.sql(RAW_SQL.format(lot=lot, lineitem="{lineitem}"), lineitem=lineitem)
 
 
 def raw_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:

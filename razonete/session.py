@@ -78,3 +78,19 @@ def local_fs_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.normpath(path)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a DataFrame over the cluster when its scan is too narrow.
+
+    A source stored as one unsplittable file (one parquet row group) is read
+    by one task, and every narrow step after it (regex normalisation, rule
+    evaluation) would run on one core. When the plan has fewer partitions
+    than the cluster's default parallelism, rebalance it; a large input with
+    many splits is returned untouched, so no shuffle is added at scale.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
