@@ -52,7 +52,7 @@ def import_mode(target: DataFrame, batch: DataFrame) -> DataFrame:
 
 def replace_version(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Drop every ledger row of the versions present in the batch."""
-    return target.join(batch_versions(batch), "VERSAO", "left_anti")
+    return target.join(batch_versions(batch), "VERSAO", "left_anti").select(*target.columns)
 
 
 def dedup_latest(batch: DataFrame, keys=KEYS, order: str = "DATA_ATUALIZACAO") -> DataFrame:
@@ -99,7 +99,7 @@ def merge_upsert(
     elif mode != MODE_AUTO:
         raise ValueError(f"unknown merge mode {mode!r}")
     kept = target.select(*LEDGER_COLUMNS).join(source.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(source)
+    return kept.select(*LEDGER_COLUMNS).unionByName(source.select(*LEDGER_COLUMNS))
 
 
 def merge_actions(target: DataFrame, batch: DataFrame, dedup: bool = True, keys=KEYS) -> DataFrame:

@@ -99,7 +99,7 @@ def edit_key_collisions(ledger: DataFrame, edits: DataFrame) -> DataFrame:
 
 def delete_keys(ledger: DataFrame, keys: DataFrame) -> DataFrame:
     """M4: remove every row whose key is in ``keys``."""
-    return ledger.join(keys.select(*KEYS), KEYS, "left_anti")
+    return ledger.join(keys.select(*KEYS), KEYS, "left_anti").select(*ledger.columns)
 
 
 def _keep_unless(cond: Column) -> Column:
