@@ -109,32 +109,38 @@ def faulty(df: DataFrame) -> Column:
 # Line numbers
 # --------------------------------------------------------------------------- #
 
-def number_in_segments(
+def number_contiguous(
     df: DataFrame,
     group: str,
-    segment: Column,
-    order: list[Column],
+    segment: str,
+    rowid: str,
     start: int,
     out: str = LINE_COL,
 ) -> DataFrame:
-    """Number rows 1..n inside ``group`` in ``order``, plus ``start - 1``.
-
-    ``segment`` must be monotone with ``order`` inside a group (every row of
-    segment s sorts before every row of segment s+1) and bounded in size.
-    Work per task is bounded by the segment, never by the group, so one file
-    holding a third of all rows is spread over many tasks.
+    """Number rows 1..n inside ``group`` (plus ``start - 1``) without a group-wide task.
+
+    Requirements on the input: the rows of one (group, segment) are contiguous
+    inside one partition and in the wanted order, ``rowid`` increases along
+    that order (``monotonically_increasing_id`` taken there), and segments
+    follow the wanted order inside a group. Then a row's number is its offset
+    inside its segment plus the sizes of the group's earlier segments.
+
+    The per-segment sizes are an aggregate over the same input (partial
+    aggregation map-side), the prefix sums a window over that small table, and
+    the offsets go back with an equi-join on (group, segment) that AQE
+    broadcasts when the table is measured small. No task ever holds a group.
     """
-    seg = "_seg"
-    data = df.withColumn(seg, segment)
-    local = Window.partitionBy(group, seg).orderBy(*order)
-    data = data.withColumn("_pos", F.row_number().over(local))
-    counts = data.groupBy(group, seg).agg(F.max("_pos").alias("_n"))
-    before = Window.partitionBy(group).orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, seg, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    stats = df.groupBy(group, segment).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(rowid).alias("_first")
+    )
+    before = Window.partitionBy(group).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stats.select(
+        group, segment, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+    )
     return (
-        data.join(offsets, [group, seg])
-        .withColumn(out, (F.col("_off") + F.col("_pos") + F.lit(start - 1)).cast("long"))
-        .drop(seg, "_pos", "_off")
+        df.join(offsets, [group, segment])
+        .withColumn(out, (F.col("_off") + (F.col(rowid) - F.col("_first")) + F.lit(start)).cast("long"))
+        .drop("_off", "_first")
     )
 
 
@@ -144,30 +150,34 @@ def line_numbers_by_content(
     """S5 for data without a physical order: rank rows of each file by content.
 
     Line = position in ``ORDER BY order_cols`` within the file, plus one for the
-    header. Segments are range partitions over (file, order columns), so a hot
-    file is cut by its own content into balanced pieces.
+    header. One range shuffle over (file, order columns) cuts a hot file by its
+    own content into balanced partitions; each partition is sorted and its
+    partition id is the segment. The partition count is explicit, so AQE never
+    coalesces this exchange and the id is stable for every consumer.
     ``order_cols`` must cover every column the caller keeps (rows that tie on
     all of them are identical, so their relative order does not matter).
     """
-    order_cols = list(order_cols or [c for c in df.columns if c != group])
+    order_cols = list(order_cols or [c for c in df.columns if c not in (group,)])
     n = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, F.col(group), *[F.col(c).asc_nulls_first() for c in order_cols])
-    return number_in_segments(
-        ranged, group, F.spark_partition_id(), [F.col(c).asc_nulls_first() for c in order_cols],
-        start=HEADER_LINES + 1, out=out,
+    order = [F.col(group).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in order_cols]
+    ranged = (
+        df.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_seg", F.spark_partition_id())
+        .withColumn("_rid", F.monotonically_increasing_id())
     )
+    return number_contiguous(ranged, group, "_seg", "_rid", start=HEADER_LINES + 1, out=out).drop("_seg", "_rid")
 
 
 def line_numbers_by_position(df: DataFrame, out: str = LINE_COL) -> DataFrame:
     """S5 for rows read from files: physical line in the file.
 
-    Needs the ``_file`` and ``_block`` columns added by
-    :func:`razonete.sources.files.read_batches` (file path and split start)
-    and ``_rowid``, a per-split increasing id taken right after the scan.
+    Needs the ``_file``, ``_block`` and ``_rowid`` columns added by
+    :func:`razonete.sources.files.read_csv_batch` (file path, split start and a
+    per-partition increasing id taken right after the scan): a split's rows
+    are contiguous and in file order, so the split is the segment.
     """
-    return number_in_segments(
-        df, "_file", F.col("_block"), [F.col("_rowid")], start=HEADER_LINES + 1, out=out
-    )
+    return number_contiguous(df, "_file", "_block", "_rowid", start=HEADER_LINES + 1, out=out)
 
 
 def error_lines(validated: DataFrame, group: str = FILE_COL, line_col: str = LINE_COL) -> DataFrame:
