@@ -63,12 +63,23 @@ def edit_diff(ledger: DataFrame, edits: DataFrame) -> DataFrame:
     )
 
 
+def one_edit_per_key(edits: DataFrame) -> DataFrame:
+    """Reduce an edit set to one request per key (deterministic: the greatest values).
+
+    An aggregate, so a key requested many times is collapsed map-side; it also
+    keeps the update join from multiplying ledger rows.
+    """
+    new = [f"{NEW}{c}" for c in EDITABLE]
+    best = F.max(F.struct(*[F.col(c) for c in new])).alias("_e")
+    return edits.groupBy(*KEYS).agg(best).select(*KEYS, *[F.col(f"_e.{c}").alias(c) for c in new])
+
+
 def apply_edits(ledger: DataFrame, edits: DataFrame, as_of=None) -> DataFrame:
     """M3: set the eight editable columns (and the timestamp) of every row with the key.
 
     DATA and VERSAO are never changed. Rows without an edit are untouched.
     """
-    e = edits.select(*KEYS, *[F.col(f"{NEW}{c}") for c in EDITABLE], F.lit(True).alias("_hit"))
+    e = one_edit_per_key(edits).withColumn("_hit", F.lit(True))
     joined = ledger.join(e, KEYS, "left")
     hit = F.col("_hit").isNotNull()
     if as_of is None:

@@ -405,6 +405,12 @@ def q_transform_rows(spark, sf):
     return _with_text(_validated(spark, sf))
 
 
+@register("transform_rows_documented", f"SELECT * FROM ({O.validated_sql(RAW, R.DOCUMENTED)})")
+def q_transform_rows_documented(spark, sf):
+    """G2 under the documented profile (all written rules, comma decimals, cleaned version)."""
+    return _with_text(_validated(spark, sf, profile=R.DOCUMENTED))
+
+
 _ORDER_ALL = ", ".join(f"{c} ASC NULLS FIRST" for c in RAW_COLUMNS)
 
 

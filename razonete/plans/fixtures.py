@@ -106,11 +106,11 @@ def raw_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def led(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LED_SQL, lineitem=table(spark, sf_dir, "lineitem"))
+    return spark.sql(LED_SQL, lineitem=spread(table(spark, sf_dir, "lineitem")))
 
 
 def delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DELTA_SQL, lineitem=table(spark, sf_dir, "lineitem"))
+    return spark.sql(DELTA_SQL, lineitem=spread(table(spark, sf_dir, "lineitem")))
 
 
 def delta_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,3 +113,16 @@ def q_stream_ingest(spark, sf):
     store, _ = run_ingest(spark, f"{root}/landing", f"{root}/ledger", f"{root}/audit", f"{root}/checkpoint",
                           as_of=AS_OF, max_files_per_trigger=4)
     return store.read()
+
+
+@register("import_commit", _STREAM_SQL)
+def q_import_commit(spark, sf):
+    """L1 end to end: rules, whole-lot gate, cost-centre gate, merge into the store, audit."""
+    from ..operators.audit import AuditContext
+    from ..plans.importer import import_batch
+    from ..sources.store import AuditLog
+
+    root = scratch_path(spark, "import")
+    store = LedgerStore(spark, f"{root}/ledger")
+    import_batch(fx.raw_by_order(spark, sf), store, AuditLog(spark, f"{root}/audit"), AuditContext(as_of=AS_OF))
+    return store.read()
