@@ -18,6 +18,7 @@ from .query import Filters, predicate
 NEW = "NOVO_"  # prefix of the requested value of a column in an edit set
 # --- fixed values: how a missing old value is written in the change list ----
 NONE_TEXT = "None"
+NOT_FOUND = "Registro não encontrado"
 # -----------------------------------------------------------------------------
 
 
@@ -29,6 +30,7 @@ def edit_lookup(ledger: DataFrame, edits: DataFrame) -> DataFrame:
         *KEYS,
         F.coalesce("_hit", F.lit(False)).alias("ENCONTRADO"),
         *[f"ATUAL_{c}" for c in EDITABLE if c not in KEYS],
+        F.when(F.col("_hit").isNull(), F.lit(NOT_FOUND)).alias("MENSAGEM"),
     )
 
 

@@ -672,7 +672,8 @@ _EDIT_OLD = [c for c in ["FILIAL", "N_CONTA", "N_CENTRO_CUSTO", "DESCRICAO", "VA
 
 @register("edit_lookup", f"""
 SELECT k.N_CONTA, k.N_CENTRO_CUSTO, k.DATA, k.VERSAO, t.N_CONTA IS NOT NULL AS ENCONTRADO,
-  {', '.join(f't.{c} AS ATUAL_{c}' for c in _EDIT_OLD)}
+  {', '.join(f't.{c} AS ATUAL_{c}' for c in _EDIT_OLD)},
+  CASE WHEN t.N_CONTA IS NULL THEN 'Registro não encontrado' END AS MENSAGEM
 FROM ({_LOOKUPS}) k LEFT JOIN {LED} t
   ON k.N_CONTA = t.N_CONTA AND k.N_CENTRO_CUSTO = t.N_CENTRO_CUSTO AND k.DATA = t.DATA AND k.VERSAO = t.VERSAO
 """)

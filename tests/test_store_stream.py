@@ -64,3 +64,30 @@ def test_stream_restart_adds_nothing(spark, tmpdir_path):
     n1, s1 = store.read().count(), store.snapshot_id()
     store2, _ = run_ingest(*args, as_of=AS_OF, max_files_per_trigger=3)
     assert store2.read().count() == n1 and store2.snapshot_id() == s1
+
+
+def test_edit_and_delete_paths(spark, tmpdir_path):
+    from razonete.operators.query import Filters
+    from razonete.plans.maintenance import delete_records, edit_records
+
+    store = LedgerStore(spark, os.path.join(tmpdir_path, "ledger"))
+    audit = AuditLog(spark, os.path.join(tmpdir_path, "audit"))
+    ctx = AuditContext(as_of=AS_OF)
+    led, edits = fx.led(spark, SF001), fx.edits(spark, SF001)
+    store.replace_all(led, as_of=AS_OF)
+    n_led = led.count()
+    assert edit_records(store, audit, edits, ctx) == edits.count()
+    assert store.read().where(F.col("FILIAL") == "0199").count() == edits.count()
+    f = Filters(data_inicio="1997-01-01", data_fim="1997-12-31", rateio="NAO")
+    expect = store.read().where("DATA >= DATE'1997-01-01' AND DATA <= DATE'1997-12-31' AND RATEIO = 'NAO'").count()
+    assert delete_records(store, audit, ctx, filters=f) == expect > 0
+    assert store.read().count() == n_led - expect
+    assert delete_records(store, audit, ctx, filters=Filters(versao="1900 - V1")) == 0   # no match: no-op
+    v = store.read().select("VERSAO").first().VERSAO
+    nv = store.read().where(F.col("VERSAO") == v).count()
+    assert delete_records(store, audit, ctx, versao=v) == nv
+    assert store.read().where(F.col("VERSAO") == v).count() == 0
+    rows = {r.STATUS: r for r in audit.read().collect()}
+    assert set(rows) == {"EDITADO", "DELETADO"}
+    totals = audit.read().where("STATUS = 'DELETADO'").agg(F.sum("TOTAL_REGISTROS")).first()[0]
+    assert totals == expect + nv
