@@ -8,12 +8,15 @@ referenced, not copied. A snapshot becomes visible only when its log rows are
 appended, and no commit ever overwrites a path that is being read.
 
 The log holds one row per live version per snapshot (a few hundred rows), so
-reading it on the driver is metadata, not data.
+reading it on the driver is metadata, not data. One writer at a time is
+assumed (the stream's micro-batches are sequential); folders no longer
+referenced by the latest snapshot can be removed by a retention job.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections import defaultdict
 
 from pyspark.errors import AnalysisException
@@ -118,7 +121,9 @@ class LedgerStore:
         by reference. Returns the new snapshot id.
         """
         sid = self.snapshot_id() + 1
-        directory = f"{self.root}/snapshots/s={sid:010d}"
+        # a unique folder per attempt: a commit that died before its log row was
+        # appended leaves an invisible folder behind, and the retry never collides with it
+        directory = f"{self.root}/snapshots/s={sid:010d}-{uuid.uuid4().hex[:12]}"
         touched = set(touched)
         written: set[str] = set()
         if touched:
