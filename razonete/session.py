@@ -52,7 +52,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     Reads ``spark.checkpoint.dir`` (or the context's checkpoint directory).
     Sets a local one only when neither is configured.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a local context (e.g. a remote client)
+        sc = None
+    if sc is None:
+        root = _conf_or_none(spark, "spark.checkpoint.dir")
+        if not root:
+            root = _LOCAL_FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="razonete-ckpt-"))
+        return root.rstrip("/")
     root = sc.getCheckpointDir()
     if not root:
         root = sc.getConf().get("spark.checkpoint.dir", None) or _conf_or_none(spark, "spark.checkpoint.dir")
@@ -63,6 +71,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_LOCAL_FALLBACK: dict = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/razonete/{name}-{uuid.uuid4().hex[:12]}"
@@ -94,7 +105,11 @@ def spread(df, min_partitions: int | None = None):
     many splits is returned untouched, so no shuffle is added at scale.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no local context: leave the plan as it is
+        return df
+    if have >= want:
         return df
     return df.repartition(want)

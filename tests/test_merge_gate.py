@@ -81,3 +81,38 @@ def test_apply_edits_touches_only_edited_rows(spark):
                 led.join(edits.select(*KEYS), KEYS, "left_anti").select(*LEDGER_COLUMNS))
     diff = MU.edit_diff(led, edits)
     assert diff.where(F.col("ALTERACOES").contains("FILIAL: '")).count() == diff.count()
+
+
+def test_hot_key_dedup_and_merge(spark):
+    # one merge key repeated 50,000 times plus ordinary rows: exact result, partial aggregation in the plan
+    base = fx.delta(spark, SF001).limit(200).cache()
+    hot = base.limit(1)
+    copies = hot.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(49999)))) \
+        .withColumn("DATA_ATUALIZACAO", F.col("DATA_ATUALIZACAO") + F.expr("make_interval(0,0,0,0,0,0,_k)")) \
+        .drop("_k")
+    batch = base.unionByName(copies)
+    d = M.dedup_latest(batch)
+    assert d.count() == base.select(*KEYS).distinct().count()
+    top = d.join(hot.select(*KEYS), KEYS).first()
+    assert top.DATA_ATUALIZACAO == copies.agg(F.max("DATA_ATUALIZACAO")).first()[0]
+    assert "partial_max" in d._jdf.queryExecution().executedPlan().toString()
+    merged = M.merge_upsert(fx.led(spark, SF001), batch, as_of=AS_OF)
+    assert merged.groupBy(*KEYS).count().where("count > 1").count() == 0
+
+
+def test_retry_after_orphaned_snapshot(spark, tmpdir_path):
+    import os
+
+    from razonete.sources.store import LedgerStore
+
+    store = LedgerStore(spark, os.path.join(tmpdir_path, "ledger"))
+    led = fx.led(spark, SF001)
+    store.replace_all(led, as_of=AS_OF)
+    # a commit that died after writing its folder but before its log row
+    orphan = os.path.join(tmpdir_path, "ledger", "snapshots", "s=0000000002-dead")
+    led.limit(5).write.partitionBy("VERSAO").parquet(orphan)
+    assert same(store.read(), led)                       # invisible
+    delta = fx.delta(spark, SF001)
+    versions = [r.VERSAO for r in delta.select("VERSAO").distinct().collect()]
+    store.commit(M.merge_upsert(store.read(versions), delta, as_of=AS_OF), touched=versions, as_of=AS_OF)
+    assert same(store.read(), M.merge_upsert(led, delta, as_of=AS_OF))
