@@ -56,6 +56,8 @@ class LedgerStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        # an empty append creates the log folder when it is missing (no-op otherwise)
+        spark.createDataFrame([], LOG_SCHEMA).write.mode("append").parquet(self.log_path)
 
     # ------------------------------------------------------------------ log
     @property
