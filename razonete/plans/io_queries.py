@@ -126,3 +126,21 @@ def q_import_commit(spark, sf):
     store = LedgerStore(spark, f"{root}/ledger")
     import_batch(fx.raw_by_order(spark, sf), store, AuditLog(spark, f"{root}/audit"), AuditContext(as_of=AS_OF))
     return store.read()
+
+
+_MESSY = {"FILIAL": "filial", "DATA": "Data", "N_CONTA": "N CONTA", "N_CENTRO_CUSTO": " n centro  custo",
+          "OPERACAO": "Operação", "VALOR": "valor", "DESCRICAO": "Descrição", "TIPO": "tipo", "VERSAO": "VERSÃO",
+          "RATEIO": "Rateio", "ORIGEM": "orígem"}
+
+
+@register("scan_csv_layouts", f"SELECT {', '.join(RAW_COLUMNS)} FROM {RAW}")
+def q_scan_csv_layouts(spark, sf):
+    """One folder, two header layouts (order, case, accents, spaces), read back by header."""
+    path = scratch_path(spark, "layouts")
+    raw = fx.raw(spark, sf)
+    opts = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    raw.where(F.col(FILE_COL) < "lote_5").select(*RAW_COLUMNS).write.options(**opts).csv(path)
+    flipped = list(reversed(RAW_COLUMNS))
+    (raw.where(F.col(FILE_COL) >= "lote_5").select(*flipped).toDF(*[_MESSY[c] for c in flipped])
+     .write.options(**opts).mode("append").csv(path))
+    return files.read_csv_files(spark, path).select(*RAW_COLUMNS)
