@@ -65,7 +65,7 @@ AUDIT_SCHEMA = T.StructType([
 
 def normalize_header(name: str) -> str:
     """Written header rule: upper case, no accents, ``_`` for spaces."""
-    decomposed = unicodedata.normalize("NFKD", name.strip().upper())
+    decomposed = unicodedata.normalize("NFKD", name.lstrip("\ufeff").strip().upper())  # drop a byte-order mark
     plain = "".join(ch for ch in decomposed if not unicodedata.combining(ch))
     return "_".join(plain.split())
 
