@@ -13,7 +13,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, format as fmt
+from ..functions import format as fmt
 from ..schema import KEYS, LEDGER_COLUMNS
 
 LISTING_LIMIT = 100  # the listing page shows the 100 most recently updated rows

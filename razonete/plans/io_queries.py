@@ -96,7 +96,6 @@ FROM v WHERE ARQUIVO NOT IN (SELECT ARQUIVO FROM bad)
 @register("stream_ingest", _STREAM_SQL)
 def q_stream_ingest(spark, sf):
     """Landing folder of CSV files -> availableNow stream -> ledger."""
-    from ..operators import gate as G
     from ..streaming.ingest import run_ingest
 
     root = scratch_path(spark, "stream")

@@ -4,7 +4,6 @@ import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from razonete.functions import dates, numbers, text
 
