@@ -90,6 +90,9 @@ def audit_edit(diff: DataFrame, ctx: AuditContext) -> DataFrame:
 
 def audit_delete_keys(ledger: DataFrame, keys: DataFrame, ctx: AuditContext) -> DataFrame:
     """A3 (by key): one row per requested key with the number of rows it removed."""
+    from .mutate import typed_keys
+
+    keys = typed_keys(keys)
     counts = ledger.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
     rows = keys.select(*KEYS).join(counts, KEYS, "left")
     return _audit(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import parse_date_flex
 from ..schema import EDITABLE, KEYS, LEDGER_COLUMNS
 from .merge import stamp
 from .query import Filters, predicate
@@ -22,8 +23,16 @@ NOT_FOUND = "Registro não encontrado"
 # -----------------------------------------------------------------------------
 
 
+def typed_keys(requests: DataFrame) -> DataFrame:
+    """Key dates given as text are parsed like the edit/delete forms (N8, four patterns)."""
+    if dict(requests.dtypes).get("DATA") == "string":
+        return requests.withColumn("DATA", parse_date_flex("DATA"))
+    return requests
+
+
 def edit_lookup(ledger: DataFrame, edits: DataFrame) -> DataFrame:
     """M1: each requested key with the stored record, ENCONTRADO false when absent."""
+    edits = typed_keys(edits)
     stored = ledger.select(*KEYS, *[F.col(c).alias(f"ATUAL_{c}") for c in EDITABLE if c not in KEYS],
                            F.lit(True).alias("_hit"))
     return edits.select(*KEYS).join(stored, KEYS, "left").select(
@@ -53,6 +62,7 @@ def edit_diff(ledger: DataFrame, edits: DataFrame) -> DataFrame:
     Fields are compared null-safely in the reference's order; VALOR is shown
     unquoted; an empty ALTERACOES means nothing would change.
     """
+    edits = typed_keys(edits)
     old = ledger.select(*KEYS, *[F.col(c).alias(f"_old_{c}") for c in EDITABLE])
     joined = edits.join(old, KEYS, "inner")
     changes = F.concat_ws(", ", *[
@@ -71,6 +81,7 @@ def one_edit_per_key(edits: DataFrame) -> DataFrame:
     An aggregate, so a key requested many times is collapsed map-side; it also
     keeps the update join from multiplying ledger rows.
     """
+    edits = typed_keys(edits)
     new = [f"{NEW}{c}" for c in EDITABLE]
     best = F.max(F.struct(*[F.col(c) for c in new])).alias("_e")
     return edits.groupBy(*KEYS).agg(best).select(*KEYS, *[F.col(f"_e.{c}").alias(c) for c in new])
@@ -101,6 +112,7 @@ def apply_edits(ledger: DataFrame, edits: DataFrame, as_of=None) -> DataFrame:
 
 def edit_key_collisions(ledger: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits whose new account / cost centre would collide with another record."""
+    edits = typed_keys(edits)
     rekeyed = edits.where(
         ~F.col(f"{NEW}N_CONTA").eqNullSafe(F.col("N_CONTA"))
         | ~F.col(f"{NEW}N_CENTRO_CUSTO").eqNullSafe(F.col("N_CENTRO_CUSTO"))
@@ -112,6 +124,7 @@ def edit_key_collisions(ledger: DataFrame, edits: DataFrame) -> DataFrame:
 
 def delete_keys(ledger: DataFrame, keys: DataFrame) -> DataFrame:
     """M4: remove every row whose key is in ``keys``."""
+    keys = typed_keys(keys)
     return ledger.join(keys.select(*KEYS), KEYS, "left_anti").select(*ledger.columns)
 
 

@@ -116,3 +116,12 @@ def test_retry_after_orphaned_snapshot(spark, tmpdir_path):
     versions = [r.VERSAO for r in delta.select("VERSAO").distinct().collect()]
     store.commit(M.merge_upsert(store.read(versions), delta, as_of=AS_OF), touched=versions, as_of=AS_OF)
     assert same(store.read(), M.merge_upsert(led, delta, as_of=AS_OF))
+
+
+def test_text_key_dates_use_flexible_parser(spark):
+    led = fx.led(spark, SF001)
+    keys = led.select(*KEYS).limit(4).collect()
+    fmts = ["%Y-%m-%d", "%d/%m/%Y", "%Y/%m/%d", "%d-%m-%Y"]
+    rows = [(k.N_CONTA, k.N_CENTRO_CUSTO, k.DATA.strftime(f), k.VERSAO) for k, f in zip(keys, fmts)]
+    text_keys = spark.createDataFrame(rows, "N_CONTA string, N_CENTRO_CUSTO string, DATA string, VERSAO string")
+    assert led.count() - MU.delete_keys(led, text_keys).count() == 4
