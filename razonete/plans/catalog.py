@@ -451,6 +451,17 @@ def q_file_gate(spark, sf):
     return G.file_gate(_validated(spark, sf, fx.LOT_BY_ORDER))
 
 
+@register("file_gate_documented", f"""
+SELECT ARQUIVO, count(*) AS TOTAL_LINHAS, count_if(N_ERROS > 0) AS LINHAS_COM_ERRO,
+  CAST(sum(N_ERROS) AS BIGINT) AS TOTAL_ERROS,
+  CASE WHEN count_if(N_ERROS > 0) > 0 THEN 'REJEITADO' ELSE 'ACEITO' END AS STATUS
+FROM ({O.validated_sql(RAWO, R.DOCUMENTED)}) GROUP BY ARQUIVO
+""")
+def q_file_gate_documented(spark, sf):
+    """G4 under the documented profile: the never-called validators and the written extras also reject lots."""
+    return G.file_gate(_validated(spark, sf, fx.LOT_BY_ORDER, R.DOCUMENTED))
+
+
 @register("accepted_rows", f"""
 WITH v AS {_V_ORDER}
 SELECT * FROM v WHERE ARQUIVO NOT IN (SELECT ARQUIVO FROM v WHERE N_ERROS > 0)
