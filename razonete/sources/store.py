@@ -152,6 +152,8 @@ class AuditLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        # an empty append creates the table folder when it is missing (no-op otherwise)
+        spark.createDataFrame([], AUDIT_SCHEMA).write.mode("append").parquet(f"{self.path}/manual")
 
     def append(self, rows: DataFrame) -> None:
         rows.select(*AUDIT_COLUMNS).write.mode("append").parquet(f"{self.path}/manual")
