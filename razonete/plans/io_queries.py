@@ -110,7 +110,7 @@ def q_stream_ingest(spark, sf):
     raw.select(*RAW_COLUMNS).where(F.col("N_CENTRO_CUSTO").isNull()).write.options(**opts).mode("append") \
         .csv(f"{root}/landing")
     store, _ = run_ingest(spark, f"{root}/landing", f"{root}/ledger", f"{root}/audit", f"{root}/checkpoint",
-                          as_of=AS_OF, max_files_per_trigger=4)
+                          as_of=AS_OF, max_files_per_trigger=8)
     return store.read()
 
 
