@@ -91,3 +91,18 @@ def test_edit_and_delete_paths(spark, tmpdir_path):
     assert set(rows) == {"EDITADO", "DELETADO"}
     totals = audit.read().where("STATUS = 'DELETADO'").agg(F.sum("TOTAL_REGISTROS")).first()[0]
     assert totals == expect + nv
+
+
+def test_cost_centre_gate_follows_profile(spark, tmpdir_path):
+    from pyspark.sql import types as T
+
+    cols = ["FILIAL", "DATA", "N_CONTA", "N_CENTRO_CUSTO", "VALOR", "DESCRICAO", "VERSAO", "ARQUIVO"]
+    rows = [("0101", "01/01/2024", "12345678", None, "10.00", "x", "2024 - V1", "a.csv"),   # account starts with 1
+            ("0101", "02/01/2024", "22345678", "123456789", "20.00", "y", "2024 - V1", "b.csv")]
+    raw = spark.createDataFrame(rows, T.StructType([T.StructField(c, T.StringType()) for c in cols]))
+    ctx = AuditContext(as_of=AS_OF)
+    for profile, expect in (("as_coded", {"b.csv"}), ("documented", {"a.csv", "b.csv"})):
+        store = LedgerStore(spark, os.path.join(tmpdir_path, profile, "ledger"))
+        res = import_batch(raw, store, AuditLog(spark, os.path.join(tmpdir_path, profile, "audit")), ctx,
+                           profile=profile)
+        assert {r.ARQUIVO for r in res.accepted.select("ARQUIVO").collect()} == expect
