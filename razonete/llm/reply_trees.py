@@ -58,22 +58,27 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     step = nodes.join(known, nodes.tree.eqNullSafe(known.t) & (nodes.parent == known.p), "left").select(
         "tree", "node", F.col("p").alias("anc"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n"))
-    jumps = [stage(step, "tree-jump")]
+    # rows whose pointer has passed a root take no part in later rounds
+    step = stage(step, "tree-jump")
+    ended, jumps = [step.where("anc is null")], [step.where("anc is not null")]
     limit = max(1, nodes.count())
-    while not jumps[-1].where("anc is not null").isEmpty() and 1 << (len(jumps) - 1) <= limit:
-        a, b = jumps[-1], jumps[-1].select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("anc").alias("up"),
-                                           F.col("total").alias("more"), F.col("n").alias("longer"))
-        jumps.append(stage(a.join(b, a.tree.eqNullSafe(b.t) & (a.anc == b.m), "left").select(
-            "tree", "node", F.col("up").alias("anc"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("n") + F.coalesce("longer", F.lit(0))).alias("n")), "tree-jump"))
-    done = jumps[-1].where("anc is null")  # pointers that never pass a root belong to cycles
+    while not jumps[-1].isEmpty() and 1 << (len(jumps) - 1) <= limit:
+        a, every = jumps[-1], ended[-1].unionByName(jumps[-1])
+        b = every.select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("anc").alias("up"),
+                         F.col("total").alias("more"), F.col("n").alias("longer"))
+        step = stage(a.join(b, a.tree.eqNullSafe(b.t) & (a.anc == b.m)).select(
+            "tree", "node", F.col("up").alias("anc"), (F.col("total") + F.col("more")).alias("total"),
+            (F.col("n") + F.col("longer")).alias("n")), "tree-jump")
+        ended.append(ended[-1].unionByName(step.where("anc is null")))
+        jumps.append(step.where("anc is not null"))
+    done = ended[-1]  # pointers that never pass a root belong to cycles
     parents = nodes.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = done.join(parents, done.tree.eqNullSafe(parents.t) & (done.node == parents.p), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("n")), F.desc("n"), "node"))
     paths = (leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
              .select("tree", "branch", "node", F.col("n").alias("pos")))
     for k, jump in enumerate(jumps[:-1]):  # after step k a path holds its last 2**(k+1) messages
-        up = jump.where("anc is not null").select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("anc"))
+        up = jump.select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("anc"))
         far = paths.join(up, paths.tree.eqNullSafe(up.t) & (paths.node == up.m)).select(
             "tree", "branch", F.col("anc").alias("node"), (F.col("pos") - (1 << k)).alias("pos"))
         paths = stage(paths.unionByName(far), "tree-paths")
