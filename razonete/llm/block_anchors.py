@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_positions, bits_hit, doc_columns, map_batches, mix64, row_slices, stage, text_column
+from .common import bit_positions, bits_hit, collect_two, doc_columns, map_batches, mix64, pack_two, row_slices, salted_join, stage, text_column
 from .textscan import Words, rolling, run_starts, words
 
 WINDOW, BLOCK = 13, 7
-FILTER_BITS, FILTER_HASHES, PIECES = 1 << 28, 3, 64  # 32 MB
+FILTER_BITS, FILTER_HASHES = 1 << 28, 3  # 32 MB
 
 
 def _blocks(w: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,46 +51,6 @@ def _own(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix64(h + (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _packed(once: np.ndarray, twice: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Rows (piece, pos, again): offsets of set bits inside each piece, and of those set by several texts."""
-    per = np.uint64(bits // PIECES)
-    cols: list[list] = [[], [], []]
-    once, twice = np.unique(once), np.unique(twice)
-    edges = np.arange(PIECES + 1, dtype=np.uint64) * per
-    a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
-    for p in range(PIECES):
-        if a[p + 1] > a[p] or b[p + 1] > b[p]:
-            cols[0].append(p)
-            cols[1].append((once[a[p]:a[p + 1]] - edges[p]).astype("<u4").tobytes())
-            cols[2].append((twice[b[p]:b[p + 1]] - edges[p]).astype("<u4").tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())],
-                                      ["piece", "pos", "again"])
-
-
-def _collect_two(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two filters: bits set by any row, and bits set by two rows or marked ``again``; fixed sizes."""
-    size = bits // PIECES // 8
-
-    def build(batches):
-        own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            for piece, pos, again in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                seen, more = own.setdefault(piece, (np.zeros(size * 8, bool), np.zeros(size * 8, bool)))
-                p = np.frombuffer(pos.as_buffer(), "<u4")
-                more[p[seen[p]]] = True
-                seen[p] = True
-                more[np.frombuffer(again.as_buffer(), "<u4")] = True
-        if own:
-            pack = lambda k: pa.array([np.packbits(v[k], bitorder="little").tobytes() for v in own.values()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pack(0), pack(1)], ["piece", "seen", "more"])
-
-    seen, more = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-    for r in rows.repartition(PIECES, "piece").mapInArrow(build, "piece int, seen binary, more binary").collect():
-        seen[r.piece * size:(r.piece + 1) * size] = np.frombuffer(r.seen, np.uint8)
-        more[r.piece * size:(r.piece + 1) * size] = np.frombuffer(r.more, np.uint8)
-    return seen, more
-
-
 def anchor_filter(docs: DataFrame, block: int = BLOCK, bits: int = FILTER_BITS) -> np.ndarray:
     """Bits of all anchors: blocks of one document that occur in another one."""
     sc = docs.sparkSession.sparkContext
@@ -101,9 +61,9 @@ def anchor_filter(docs: DataFrame, block: int = BLOCK, bits: int = FILTER_BITS)
         at = np.flatnonzero(aligned)
         _, one = np.unique(_own(r[at], w.doc[at]), return_index=True)   # once a document
         h, times = np.unique(r[at[one]], return_counts=True)
-        return _packed(bit_positions(h, bits, FILTER_HASHES), bit_positions(h[times > 1], bits, FILTER_HASHES), bits)
+        return pack_two(bit_positions(h, bits, FILTER_HASHES), bit_positions(h[times > 1], bits, FILTER_HASHES), bits)
 
-    blocks, shared = _collect_two(map_batches(docs, index, "piece int, pos binary, again binary"), bits)
+    blocks, shared = collect_two(map_batches(docs, index, "piece int, pos binary, again binary"), bits)
     known = sc.broadcast(blocks)
 
     def probe(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -113,9 +73,9 @@ def anchor_filter(docs: DataFrame, block: int = BLOCK, bits: int = FILTER_BITS)
         at = at[bits_hit(known.value, r[at], FILTER_HASHES)]
         own = np.flatnonzero(aligned)
         at = at[~np.isin(_own(r[at], w.doc[at]), _own(r[own], w.doc[own]))]  # not its own block once more
-        return _packed(bit_positions(np.unique(r[at]), bits, FILTER_HASHES), np.zeros(0, np.uint64), bits)
+        return pack_two(bit_positions(np.unique(r[at]), bits, FILTER_HASHES), np.zeros(0, np.uint64), bits)
 
-    found, _ = _collect_two(map_batches(docs, probe, "piece int, pos binary, again binary"), bits)
+    found, _ = collect_two(map_batches(docs, probe, "piece int, pos binary, again binary"), bits)
     known.unpersist()
     return found | shared
 
@@ -124,10 +84,36 @@ def _windows(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return rolling(w.hash, window), run_starts(w.first, window)
 
 
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """Ids (of one row each) whose whole word sequence is that of a smaller id."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        w = words(text_column(b))
+        place = np.arange(len(w.hash), dtype=np.uint64) - w.first[w.doc].astype(np.uint64)
+        keys = []
+        for seed in (0x94D049BB133111EB, 0xD6E8FEB86659FD93):
+            part = np.append(mix64(w.hash ^ mix64((place + np.uint64(1)) * np.uint64(seed))), np.uint64(0))
+            total = np.where(w.counts > 0, np.add.reduceat(part, w.first[:-1]), 0) if len(w.counts) else np.zeros(0, np.uint64)
+            keys.append(pa.array(total.astype(np.uint64).view(np.int64)))
+        return pa.RecordBatch.from_arrays([b.column(0), *keys, pa.array(w.counts, pa.int64())], ["doc_id", "k1", "k2", "n"])
+
+    rows = stage(map_batches(docs, run, "doc_id bigint, k1 bigint, k2 bigint, n bigint").where("n > 0"), "anchor-sequences")
+    once = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("n").alias("n"))
+    once = once.where("rows = 1").drop("rows")
+    low = rows.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("last")).where("low < last").drop("last")
+    return salted_join(once, low, ["k1", "k2", "n"], [F.col("doc_id")], how="inner").where("doc_id > low").select("doc_id")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, windows): hashes of a document's windows that also start in a document with a smaller id."""
-    block = (window + 1) // 2
+    """(doc_id, windows, copy): hashes of a document's windows that also start in a document with a smaller id.
+
+    An exact copy (by words) of a smaller id is only marked: all its windows
+    start there too. Its windows add nothing to those of its first document.
+    """
     docs = docs.where("doc_id is not null")
+    copies = stage(exact_copies(docs), "anchor-copies")  # a table of files: Spark sends it whole only where it is small
+    docs = docs.join(copies, "doc_id", "left_anti")
+    block = (window + 1) // 2
     anchors = docs.sparkSession.sparkContext.broadcast(anchor_filter(docs, block, bits))
 
     def extend(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -148,11 +134,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bits: int = FILTER_B
     # written and read again, so that both sides of the join are plain shuffles, whose hot keys Spark splits
     first = stage(rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("last"))
                   .where("low < last").drop("last"), "anchor-first")
-    return (rows.join(first, "h").where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h").alias("windows")))
+    found = rows.join(first, "h").where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h").alias("windows"))
+    return found.withColumn("copy", F.lit(False)).unionByName(
+        copies.select("doc_id", F.lit(None).cast("array<bigint>").alias("windows"), F.lit(True).alias("copy")))
 
 
-def covered(w: Words, lists: pa.Array, window: int) -> np.ndarray:
-    """Mask of the words inside the listed windows of their text."""
+def covered(w: Words, lists: pa.Array, copy: pa.Array, window: int) -> np.ndarray:
+    """Mask of the words inside the listed windows of their text; of a copy, all words if it has a window."""
+    whole = copy.fill_null(False).to_numpy(zero_copy_only=False) & (w.counts >= window)
     mask = np.zeros(len(w.hash) + 1, np.int64)
     if lists.null_count < len(lists):
         flat = lists.flatten().to_numpy().view(np.uint64)
@@ -162,7 +151,7 @@ def covered(w: Words, lists: pa.Array, window: int) -> np.ndarray:
         at = at[np.isin(_own(h[at], w.doc[at]), _own(flat, owner))]
         np.add.at(mask, at, 1)
         np.add.at(mask, at + window, -1)
-    return np.cumsum(mask[:-1]) > 0
+    return (np.cumsum(mask[:-1]) > 0) | whole[w.doc]
 
 
 def _kept_texts(w: Words, gone: np.ndarray) -> list[bytes]:
@@ -180,19 +169,20 @@ def removal_digests(docs: DataFrame, window: int = WINDOW, bits: int = FILTER_BI
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         w = words(text_column(b))
-        gone = covered(w, b.column(2), window)
+        gone = covered(w, b.column(2), b.column(3), window)
         return pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(w.counts, pa.int64()), pa.array(np.bincount(w.doc[gone], minlength=len(w.counts)), pa.int64()),
              pa.array([hashlib.sha256(t).hexdigest() for t in _kept_texts(w, gone)])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    marked = docs.join(repeated_windows(docs, window, bits), "doc_id", "left").select("doc_id", "text", "windows")
+    marked = docs.join(repeated_windows(docs, window, bits), "doc_id", "left").select("doc_id", "text", "windows", "copy")
     return map_batches(marked, run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, bits: int = FILTER_BITS, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """All rows and columns; texts that lose words become their kept words joined by a space, others stay as they are."""
-    windows = repeated_windows(doc_columns(docs, id_col, text_col), window, bits).withColumnRenamed("doc_id", "_id").withColumnRenamed("windows", "_windows")
+    windows = repeated_windows(doc_columns(docs, id_col, text_col), window, bits).withColumnRenamed("doc_id", "_id").withColumnRenamed(
+        "windows", "_windows").withColumnRenamed("copy", "_copy")
     marked = docs.join(windows, docs[id_col].cast("long") == windows["_id"], "left").drop("_id")
     names, schema = docs.columns, docs.schema
     at = names.index(text_col)
@@ -202,7 +192,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, bits: int = FILTER_BITS,
             for i, j in row_slices(text_column(batch, text_col)):
                 b = batch.slice(i, j - i)
                 w = words(text_column(b, text_col))
-                gone = covered(w, b.column(b.num_columns - 1), window)
+                gone = covered(w, b.column(b.num_columns - 2), b.column(b.num_columns - 1), window)
                 lost = np.bincount(w.doc[gone], minlength=b.num_rows) > 0
                 old = b.column(at).to_pylist()
                 new = [t.decode() if x else o for t, x, o in zip(_kept_texts(w, gone), lost, old)]

@@ -16,7 +16,7 @@ from ..sources.store import stage
 WORD = r"[^\x20\x09-\x0D]+"
 
 __all__ = ["WORD", "stage", "scratch_path", "salted_join", "doc_columns", "row_slices", "text_column",
-           "mix64", "bit_positions", "collect_bits", "bits_hit", "map_batches"]
+           "mix64", "bit_positions", "pack_two", "collect_two", "bits_hit", "map_batches"]
 
 
 def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,6 +82,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 # A Bloom filter of a fixed number of bits, whatever the input: it only spares
 # work, a false hit is sorted out by an exact step behind it. Its size is a
 # parameter, so sending it to every executor has a proven bound.
+FILTER_PIECES = 64  # tasks that build a filter, each its own share of the bits
+
+
 def bit_positions(h: np.ndarray, bits: int, hashes: int) -> np.ndarray:
     """``hashes`` bit positions (flat uint64 array) of each 64-bit value; ``bits`` is a power of two."""
     h = mix64(h)
@@ -100,42 +103,41 @@ def bits_hit(filt: np.ndarray, h: np.ndarray, hashes: int) -> np.ndarray:
     return hit
 
 
-def collect_bits(positions: DataFrame, bits: int, pieces: int = 64) -> np.ndarray:
-    """OR packed positions into one filter of ``bits`` bits.
+def pack_two(once: np.ndarray, twice: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows (piece, pos, again): offsets of set bits inside each piece, and of those set by several texts."""
+    per = np.uint64(bits // FILTER_PIECES)
+    cols: list[list] = [[], [], []]
+    once, twice = np.unique(once), np.unique(twice)
+    edges = np.arange(FILTER_PIECES + 1, dtype=np.uint64) * per
+    a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
+    for p in range(FILTER_PIECES):
+        if a[p + 1] > a[p] or b[p + 1] > b[p]:
+            cols[0].append(p)
+            cols[1].append((once[a[p]:a[p + 1]] - edges[p]).astype("<u4").tobytes())
+            cols[2].append((twice[b[p]:b[p + 1]] - edges[p]).astype("<u4").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())],
+                                      ["piece", "pos", "again"])
 
-    ``positions`` has rows (piece int, pos binary): little-endian uint32
-    offsets inside the piece of the filter they fall in. Each piece is built
-    in one task from its packed rows; the driver joins ``pieces`` byte strings
-    of ``bits / 8 / pieces`` bytes each, a size fixed by the parameters.
-    """
-    size = bits // pieces // 8
+
+def collect_two(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two filters: bits set by any row, and bits set by two rows or marked ``again``; fixed sizes."""
+    size = bits // FILTER_PIECES // 8
 
     def build(batches):
-        own: dict[int, np.ndarray] = {}
+        own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for piece, pos in zip(b.column(0).to_pylist(), b.column(1)):
+            for piece, pos, again in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                seen, more = own.setdefault(piece, (np.zeros(size * 8, bool), np.zeros(size * 8, bool)))
                 p = np.frombuffer(pos.as_buffer(), "<u4")
-                a = own.setdefault(piece, np.zeros(size, np.uint8))
-                np.bitwise_or.at(a, p >> 3, (1 << (p & 7)).astype(np.uint8))
+                more[p[seen[p]]] = True
+                seen[p] = True
+                more[np.frombuffer(again.as_buffer(), "<u4")] = True
         if own:
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()),
-                                              pa.array([a.tobytes() for a in own.values()], pa.binary())], ["piece", "bytes"])
-
-    filt = np.zeros(bits // 8, np.uint8)
-    for r in positions.repartition(pieces, "piece").mapInArrow(build, "piece int, bytes binary").toLocalIterator():
-        filt[r.piece * size:(r.piece + 1) * size] = np.frombuffer(r.bytes, np.uint8)
-    return filt
-
-
-def pack_positions(pos: np.ndarray, bits: int, pieces: int = 64) -> pa.RecordBatch:
-    """Rows (piece, pos) of the bit positions of one batch, repeats removed."""
-    pos = np.unique(pos)
-    per = np.uint64(bits // pieces)
-    piece = (pos // per).astype(np.int64)
-    off = (pos % per).astype("<u4")
-    cut = np.flatnonzero(np.diff(piece)) + 1
-    starts = np.concatenate([[0], cut]) if len(pos) else np.zeros(0, np.int64)
-    ends = np.concatenate([cut, [len(pos)]]) if len(pos) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(piece[starts.astype(np.int64)].astype(np.int32), pa.int32()),
-         pa.array([off[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["piece", "pos"])
+            pack = lambda k: pa.array([np.packbits(v[k], bitorder="little").tobytes() for v in own.values()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pack(0), pack(1)], ["piece", "seen", "more"])
+
+    seen, more = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+    for r in rows.repartition(FILTER_PIECES, "piece").mapInArrow(build, "piece int, seen binary, more binary").collect():
+        seen[r.piece * size:(r.piece + 1) * size] = np.frombuffer(r.seen, np.uint8)
+        more[r.piece * size:(r.piece + 1) * size] = np.frombuffer(r.more, np.uint8)
+    return seen, more

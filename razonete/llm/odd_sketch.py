@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_positions, bits_hit, collect_bits, doc_columns, map_batches, mix64, pack_positions, salted_join, stage, text_column
+from .common import bit_positions, bits_hit, collect_two, doc_columns, map_batches, mix64, pack_two, salted_join, stage, text_column
 from .textscan import rolling, run_starts, words
 
 SHINGLE, MIN_PERCENT = 5, 75
@@ -38,6 +38,8 @@ BANDS, ROWS = 48, 4
 SKETCH_LONGS = 8                 # 512 bits
 LOWEST_ESTIMATE = 0.5            # over five standard errors of 192 samples below 0.75
 ID_FILTER_BITS, ID_FILTER_HASHES = 1 << 23, 2
+BUCKET_FILTER_BITS = 1 << 28     # 32 MB
+PAIRS_PER_SALT = 256             # a member of more pairs than this is dealt over several tasks
 _A = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _X = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 SETS = "doc_id bigint, n_shingles bigint, cls bigint, bands array<bigint>, sketch array<bigint>"
@@ -103,10 +105,19 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ exact check
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs with a salt, and the (y, salt) rows they use: one for every ``PAIRS_PER_SALT`` pairs of y."""
+    pairs = stage(pairs, "odd-pairs")
+    of = stage(pairs.groupBy("y").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("long").alias("salts")), "odd-salts")
+    own = pairs.join(of, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt"))
+    return own, of.select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
-    """The pairs (x, y) whose full sets pass; ``y`` may be hot and is joined with salts."""
-    own = salted_join(pairs, sets.select(F.col("cls").alias("y"), F.col("members").alias("ym")), ["y"], [F.col("x")], how="inner")
-    both = own.join(sets.select(F.col("cls").alias("x"), F.col("members").alias("xm")), "x")
+    """The pairs (x, y) whose full sets pass; ``y`` may be hot."""
+    own, ys = _dealt(pairs)
+    right = ys.join(sets.select(F.col("cls").alias("y"), F.col("members").alias("ym")), "y")
+    both = own.join(right, ["y", "salt"]).join(sets.select(F.col("cls").alias("x"), F.col("members").alias("xm")), "x")
 
     def run(batches):
         for b in batches:
@@ -123,9 +134,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame
 
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs whose odd sketches do not rule them out."""
+    own, ys = _dealt(pairs)
     xs = reps.select(F.col("cls").alias("x"), F.col("sketch").alias("sx"))
-    ys = reps.select(F.col("cls").alias("y"), F.col("sketch").alias("sy"))
-    both = salted_join(pairs.join(xs, "x"), ys, ["y"], [F.col("x")], how="inner")
+    right = ys.join(reps.select(F.col("cls").alias("y"), F.col("sketch").alias("sy")), "y")
+    both = own.join(right, ["y", "salt"]).join(xs, "x")
     differ = sum((F.bit_count(F.col("sx")[k].bitwiseXOR(F.col("sy")[k])) for k in range(SKETCH_LONGS)), F.lit(0))
     bits, samples = 64 * SKETCH_LONGS, BANDS * ROWS
     share = F.greatest(1 - 2 * differ / F.lit(bits), F.lit(1e-9))
@@ -177,20 +189,41 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT, id_col: str
     docs = doc_columns(docs, id_col, text_col)
     table = stage(document_sets(docs), "odd-sets")
     linked = table.where("n_shingles > 0 and doc_id is not null")
-    reps = stage(linked.select("cls", "bands", "sketch").dropDuplicates(["cls"]), "odd-reps")
-    entries = reps.select("cls", F.explode("bands").alias("bucket"))
+    # only keys that (probably) occur in two classes are dealt out; the rest of the keys are buckets of one
+    def keys(batches):
+        for b in batches:
+            flat = b.column(1).flatten().to_numpy().view(np.uint64)
+            cls = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), BANDS)
+            _, one = np.unique(mix64(flat + mix64(cls)), return_index=True)
+            key, times = np.unique(flat[one], return_counts=True)
+            yield pack_two(bit_positions(key, BUCKET_FILTER_BITS, 1), bit_positions(key[times > 1], BUCKET_FILTER_BITS, 1), BUCKET_FILTER_BITS)
+
+    _, often = collect_two(linked.select("cls", "bands").mapInArrow(keys, "piece int, pos binary, again binary"), BUCKET_FILTER_BITS)
+    twice = spark.sparkContext.broadcast(often)
+
+    def entries_of(batches):
+        for b in batches:
+            flat = b.column(1).flatten().to_numpy()
+            hit = bits_hit(twice.value, flat.view(np.uint64), 1)
+            cls = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[hit], pa.int64()), pa.array(flat[hit])], ["cls", "bucket"])
+
+    entries = stage(linked.select("cls", "bands").mapInArrow(entries_of, "cls bigint, bucket bigint").distinct(), "odd-entries")
     heads = entries.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head < last").drop("last")
-    shared = stage(salted_join(entries, heads, ["bucket"], [F.col("cls")], salts=8, how="inner"), "odd-buckets")
+    shared = stage(salted_join(entries, heads, ["bucket"], [F.col("cls")], salts=4, how="inner"), "odd-buckets")
+    wanted = stage(shared.select("cls").distinct(), "odd-wanted")
+    reps = stage(linked.select("cls", "sketch").join(wanted, "cls").dropDuplicates(["cls"]), "odd-reps")
     star = stage(shared.where("cls > head").select(F.col("cls").alias("x"), F.col("head").alias("y")).distinct(), "odd-pairs")
 
     # the full sets of the classes in shared buckets, from their first documents
     def positions(batches):
         for b in batches:
             ids = b.column(0).to_numpy().astype(np.int64).view(np.uint64)
-            yield pack_positions(bit_positions(ids, ID_FILTER_BITS, ID_FILTER_HASHES), ID_FILTER_BITS)
+            yield pack_two(bit_positions(ids, ID_FILTER_BITS, ID_FILTER_HASHES), np.zeros(0, np.uint64), ID_FILTER_BITS)
 
-    firsts = linked.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(shared.select("cls").distinct(), "cls").select("doc_id")
-    sent = spark.sparkContext.broadcast(collect_bits(firsts.mapInArrow(positions, "piece int, pos binary"), ID_FILTER_BITS))
+    firsts = linked.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls").select("doc_id")
+    ids, _ = collect_two(firsts.mapInArrow(positions, "piece int, pos binary, again binary"), ID_FILTER_BITS)
+    sent = spark.sparkContext.broadcast(ids)
 
     def full_sets(b: pa.RecordBatch) -> pa.RecordBatch:
         ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
