@@ -65,6 +65,7 @@ def anchor_filter(docs: DataFrame, block: int = BLOCK, bits: int = FILTER_BITS)
 
     blocks, shared = collect_two(map_batches(docs, index, "piece int, pos binary, again binary"), bits)
     known = sc.broadcast(blocks)
+    del blocks
 
     def probe(b: pa.RecordBatch) -> pa.RecordBatch:
         w = words(text_column(b))
@@ -75,9 +76,10 @@ def anchor_filter(docs: DataFrame, block: int = BLOCK, bits: int = FILTER_BITS)
         at = at[~np.isin(_own(r[at], w.doc[at]), _own(r[own], w.doc[own]))]  # not its own block once more
         return pack_two(bit_positions(np.unique(r[at]), bits, FILTER_HASHES), np.zeros(0, np.uint64), bits)
 
-    found, _ = collect_two(map_batches(docs, probe, "piece int, pos binary, again binary"), bits)
+    found = collect_two(map_batches(docs, probe, "piece int, pos binary, again binary"), bits, ("seen",))[0]
     known.unpersist()
-    return found | shared
+    found |= shared
+    return found
 
 
 def _windows(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,6 +29,7 @@ from .common import doc_columns, map_batches, text_column
 from .segments import SegmentEncoder
 
 LONG_PIECE = 1 << 11
+CACHE_ENTRIES = 400_000  # segments that a worker process remembers
 _PAD = 0xFFFF  # an id without pairs; ranks stay below it
 _NONE = np.iinfo(np.int32).max
 _encoders: dict[tuple[str, str], BpeEncoder] = {}
@@ -91,7 +92,7 @@ class BpeEncoder:
                     ranks.append(r)
         self.table = PairTable(np.array(pairs, np.uint64), np.array(ranks, np.int32))
         self.split = regex.compile(pattern).findall
-        self.segments = SegmentEncoder(self._encode_new)
+        self.segments = SegmentEncoder(self._encode_new, CACHE_ENTRIES)
 
     # ---------------------------------------------------------------- merging
     def _merge_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:

@@ -119,8 +119,11 @@ def pack_two(once: np.ndarray, twice: np.ndarray, bits: int) -> pa.RecordBatch:
                                       ["piece", "pos", "again"])
 
 
-def collect_two(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two filters: bits set by any row, and bits set by two rows or marked ``again``; fixed sizes."""
+def collect_two(rows: DataFrame, bits: int, which: tuple[str, ...] = ("seen", "more")) -> list[np.ndarray]:
+    """The named filters: bits set by any row (seen), bits set by two rows or marked ``again`` (more).
+
+    Their sizes are fixed by ``bits``; the driver takes an eighth at a time.
+    """
     size = bits // FILTER_PIECES // 8
 
     def build(batches):
@@ -134,10 +137,11 @@ def collect_two(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
                 more[np.frombuffer(again.as_buffer(), "<u4")] = True
         if own:
             pack = lambda k: pa.array([np.packbits(v[k], bitorder="little").tobytes() for v in own.values()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pack(0), pack(1)], ["piece", "seen", "more"])
-
-    seen, more = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-    for r in rows.repartition(FILTER_PIECES, "piece").mapInArrow(build, "piece int, seen binary, more binary").collect():
-        seen[r.piece * size:(r.piece + 1) * size] = np.frombuffer(r.seen, np.uint8)
-        more[r.piece * size:(r.piece + 1) * size] = np.frombuffer(r.more, np.uint8)
-    return seen, more
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), *(pack(("seen", "more").index(c)) for c in which)], ["piece", *which])
+
+    out = [np.zeros(bits // 8, np.uint8) for _ in which]
+    schema = ", ".join(["piece int", *(f"{c} binary" for c in which)])
+    for r in rows.repartition(8, "piece").mapInArrow(build, schema).toLocalIterator():
+        for filt, c in zip(out, which):
+            filt[r.piece * size:(r.piece + 1) * size] = np.frombuffer(r[c], np.uint8)
+    return out

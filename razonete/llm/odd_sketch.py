@@ -38,7 +38,7 @@ BANDS, ROWS = 48, 4
 SKETCH_LONGS = 8                 # 512 bits
 LOWEST_ESTIMATE = 0.5            # over five standard errors of 192 samples below 0.75
 ID_FILTER_BITS, ID_FILTER_HASHES = 1 << 23, 2
-BUCKET_FILTER_BITS = 1 << 28     # 32 MB
+BUCKET_FILTER_BITS = 1 << 27     # 16 MB
 PAIRS_PER_SALT = 256             # a member of more pairs than this is dealt over several tasks
 _A = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _X = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT, id_col: str
             key, times = np.unique(flat[one], return_counts=True)
             yield pack_two(bit_positions(key, BUCKET_FILTER_BITS, 1), bit_positions(key[times > 1], BUCKET_FILTER_BITS, 1), BUCKET_FILTER_BITS)
 
-    _, often = collect_two(linked.select("cls", "bands").mapInArrow(keys, "piece int, pos binary, again binary"), BUCKET_FILTER_BITS)
-    twice = spark.sparkContext.broadcast(often)
+    twice = spark.sparkContext.broadcast(collect_two(
+        linked.select("cls", "bands").mapInArrow(keys, "piece int, pos binary, again binary"), BUCKET_FILTER_BITS, ("more",))[0])
 
     def entries_of(batches):
         for b in batches:
@@ -222,8 +222,8 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT, id_col: str
             yield pack_two(bit_positions(ids, ID_FILTER_BITS, ID_FILTER_HASHES), np.zeros(0, np.uint64), ID_FILTER_BITS)
 
     firsts = linked.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls").select("doc_id")
-    ids, _ = collect_two(firsts.mapInArrow(positions, "piece int, pos binary, again binary"), ID_FILTER_BITS)
-    sent = spark.sparkContext.broadcast(ids)
+    sent = spark.sparkContext.broadcast(collect_two(
+        firsts.mapInArrow(positions, "piece int, pos binary, again binary"), ID_FILTER_BITS, ("seen",))[0])
 
     def full_sets(b: pa.RecordBatch) -> pa.RecordBatch:
         ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
