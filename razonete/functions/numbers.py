@@ -10,9 +10,17 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# what float() reads, without digit grouping; a plain cast also takes type suffixes and hexadecimal
+FLOAT = r"(?i)^[+-]?(\d+(\.\d*)?([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan)$"
+
+
+def _number(s: Column) -> Column:
+    return F.when(s.rlike(FLOAT), s.try_cast("double"))
+
+
 def parse_valor(c) -> Column:
     """``float(x)``; null when the text is not a number."""
-    return F.trim(_c(c)).try_cast("double")
+    return _number(F.trim(_c(c)))
 
 
 def parse_valor_br(c) -> Column:
@@ -23,7 +31,7 @@ def parse_valor_br(c) -> Column:
     """
     s = F.trim(_c(c))
     br = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return F.when(s.contains(","), br).otherwise(s).try_cast("double")
+    return _number(F.when(s.contains(","), br).otherwise(s))
 
 
 def has_at_most_2_decimals(v) -> Column:

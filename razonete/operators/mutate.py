@@ -62,7 +62,7 @@ def edit_diff(ledger: DataFrame, edits: DataFrame) -> DataFrame:
     Fields are compared null-safely in the reference's order; VALOR is shown
     unquoted; an empty ALTERACOES means nothing would change.
     """
-    edits = typed_keys(edits)
+    edits = one_edit_per_key(edits)
     old = ledger.select(*KEYS, *[F.col(c).alias(f"_old_{c}") for c in EDITABLE])
     joined = edits.join(old, KEYS, "inner")
     changes = F.concat_ws(", ", *[
@@ -111,15 +111,16 @@ def apply_edits(ledger: DataFrame, edits: DataFrame, as_of=None) -> DataFrame:
 
 
 def edit_key_collisions(ledger: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits whose new account / cost centre would collide with another record."""
-    edits = typed_keys(edits)
-    rekeyed = edits.where(
+    """Edits whose new account / cost centre would collide with another record, or with another edit's new key."""
+    found = one_edit_per_key(edits).join(ledger.select(*KEYS).distinct(), KEYS, "left_semi")
+    rekeyed = found.where(
         ~F.col(f"{NEW}N_CONTA").eqNullSafe(F.col("N_CONTA"))
         | ~F.col(f"{NEW}N_CENTRO_CUSTO").eqNullSafe(F.col("N_CENTRO_CUSTO"))
     ).select(
         F.col(f"{NEW}N_CONTA").alias("N_CONTA"), F.col(f"{NEW}N_CENTRO_CUSTO").alias("N_CENTRO_CUSTO"), "DATA", "VERSAO"
     )
-    return rekeyed.join(ledger.select(*KEYS), KEYS, "left_semi")
+    twice = rekeyed.groupBy(*KEYS).count().where("count > 1").select(*KEYS)
+    return rekeyed.join(ledger.select(*KEYS), KEYS, "left_semi").unionByName(twice).distinct()
 
 
 def delete_keys(ledger: DataFrame, keys: DataFrame) -> DataFrame:

@@ -182,7 +182,8 @@ def _versao_pattern(r: Row) -> Column:
 
 
 def _valor_positive(r: Row) -> Column:
-    return r.valor() <= F.lit(0.0)
+    v = r.valor()
+    return (v <= F.lit(0.0)) | F.isnan(v) | (v == F.lit(float("inf")))  # not a positive finite amount
 
 
 def _valor_decimals(r: Row) -> Column:

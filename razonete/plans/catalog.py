@@ -25,7 +25,6 @@ from ..operators import rules as R
 from ..operators import validate as V
 from ..operators.project import assign_version, cast_strings, fill_nulls, to_ledger
 from ..schema import FILE_COL, LEDGER_COLUMNS, RAW_COLUMNS, normalize_headers
-from ..session import spread
 from . import fixtures as fx
 from . import oracle as O
 
@@ -38,7 +37,7 @@ CTX = A.AuditContext(as_of=AS_OF, usuario="controladoria", sistema_operacional="
 
 F_LIST = Q.Filters(data_inicio="1995-03-01", data_fim="1996-09-30", versao="1996 - V2", origem="MA F")
 F_EQ = Q.Filters(filial="0107", operacao="OP1", rateio="NAO")
-F_RANGE = Q.Filters(data_inicio="1994-01-01", data_fim="1994-06-30")
+F_RANGE = Q.Filters(data_inicio="1996-01-01", data_fim="1996-06-30")
 F_LIKE = Q.Filters(origem="MA_O")
 F_DELETE = Q.Filters(data_inicio="1997-01-01", data_fim="1997-12-31", rateio="NAO")
 DEL_VERSION = "1995 - V2"
@@ -268,13 +267,13 @@ def q_assign_version(spark, sf):
 # ================================================= N: scalar normalisers
 @register("clean_text", f"SELECT doc_id, {O.clean('text')} AS TEXTO FROM documents")
 def q_clean_text(spark, sf):
-    d = spread(fx.table(spark, sf, "documents"))
+    d = fx.table(spark, sf, "documents")
     return d.select("doc_id", text.clean_text("text").alias("TEXTO"))
 
 
 @register("squash_upper", f"SELECT doc_id, {O.squash_upper('text')} AS TEXTO FROM documents")
 def q_squash_upper(spark, sf):
-    d = spread(fx.table(spark, sf, "documents"))
+    d = fx.table(spark, sf, "documents")
     return d.select("doc_id", text.squash_upper("text").alias("TEXTO"))
 
 

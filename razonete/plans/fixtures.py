@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
-
 # Raw, untyped budget lines with injected faults (one per lineitem row).
 RAW_SQL = """
 SELECT
@@ -53,22 +51,24 @@ SELECT CAST(10000000 + (l_partkey * 7919) % 80000000 AS STRING) AS N_CONTA,
   {descricao} || l_returnflag AS DESCRICAO,
   {valor} AS VALOR,
   CAST(l_shipdate AS DATE) AS DATA,
-  CAST(year(l_shipdate) AS STRING) || ' - V' || CAST(1 + l_linenumber % 3 AS STRING) AS VERSAO,
+  CAST(year(l_shipdate) AS STRING) || ' - V' || {versao} AS VERSAO,
   'OP' || CAST(l_linenumber AS STRING) AS OPERACAO,
   {atualizacao} AS DATA_ATUALIZACAO,
   lpad(CAST(100 + l_suppkey % 20 AS STRING), 4, '0') AS FILIAL,
   CASE WHEN l_linenumber % 3 = 0 THEN 'SIM' WHEN l_linenumber % 3 = 1 THEN 'NAO' ELSE CAST(NULL AS STRING) END AS RATEIO,
   CASE WHEN l_linenumber = 5 THEN CAST(NULL AS STRING) ELSE 'SISTEMA ' || l_linestatus END AS ORIGEM
 FROM {lineitem}
-WHERE l_orderkey % 3 <> {skip} AND year(l_shipdate) < 2001
 """
 
 LED_SQL = _LEDGER_SQL.format(
-    descricao="'LINHA '", valor="l_extendedprice", atualizacao="l_shipdate", skip="0", lineitem="{lineitem}"
+    descricao="'LINHA '", valor="l_extendedprice", atualizacao="l_shipdate",
+    versao="CAST(1 + l_linenumber % 3 AS STRING)", lineitem="{lineitem}",
 )
 DELTA_SQL = _LEDGER_SQL.format(
     descricao="'REVISTA '", valor="l_extendedprice + 1",
-    atualizacao="l_shipdate + INTERVAL '1' DAY", skip="1", lineitem="{lineitem}",
+    atualizacao="l_shipdate + INTERVAL '1' DAY",
+    # a third of the lines gets a new key, in versions that the ledger does not have yet
+    versao="CASE WHEN l_linenumber % 3 = 2 THEN '4' ELSE CAST(1 + l_linenumber % 3 AS STRING) END", lineitem="{lineitem}",
 )
 
 # A batch with repeated merge keys: a second, later copy of some delta rows.
@@ -96,9 +96,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str, lot: str = LOT_BY_SUPPLIER) -> DataFrame:
-    # the raw lines feed CPU-heavy normalisation: make sure they are spread over the cores
-    lineitem = spread(table(spark, sf_dir, "lineitem"))
-    return spark.sql(RAW_SQL.format(lot=lot, lineitem="{lineitem}"), lineitem=lineitem)
+    return spark.sql(RAW_SQL.format(lot=lot, lineitem="{lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
 def raw_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +104,11 @@ def raw_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def led(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LED_SQL, lineitem=spread(table(spark, sf_dir, "lineitem")))
+    return spark.sql(LED_SQL, lineitem=table(spark, sf_dir, "lineitem"))
 
 
 def delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DELTA_SQL, lineitem=spread(table(spark, sf_dir, "lineitem")))
+    return spark.sql(DELTA_SQL, lineitem=table(spark, sf_dir, "lineitem"))
 
 
 def delta_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

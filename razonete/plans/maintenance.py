@@ -33,6 +33,7 @@ def _versions(df: DataFrame) -> list[str]:
 
 def edit_records(store: LedgerStore, audit_log: AuditLog, edits: DataFrame, ctx: A.AuditContext) -> int:
     """M1-M3 + A2: apply an edit set; returns the number of records found and updated."""
+    edits = MU.one_edit_per_key(edits)  # one set for the collision check, the update and the audit
     versions = _versions(edits)
     current = store.read(versions)
     if MU.edit_key_collisions(current, edits).limit(1).count() > 0:
@@ -67,6 +68,7 @@ def delete_records(
         audit_log.append(A.audit_delete_version(current, versao, ctx))
         return n
     if keys is not None:
+        keys = MU.typed_keys(keys)
         cond_rows = store.read(_versions(keys))
         hit = cond_rows.join(keys.select(*KEYS).distinct(), KEYS, "left_semi")
         new_rows = lambda cur: MU.delete_keys(cur, keys)

@@ -7,7 +7,7 @@ session has none, as in tests and local runs, do we create one.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -50,28 +50,29 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     Reads ``spark.checkpoint.dir`` (or the context's checkpoint directory).
-    Sets a local one only when neither is configured.
+    Sets a local one only when neither is configured and the master is local.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # a session without a local context (e.g. a remote client)
-        sc = None
-    if sc is None:
         root = _conf_or_none(spark, "spark.checkpoint.dir")
         if not root:
-            root = _LOCAL_FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="razonete-ckpt-"))
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share") from None
         return root.rstrip("/")
     root = sc.getCheckpointDir()
     if not root:
         root = sc.getConf().get("spark.checkpoint.dir", None) or _conf_or_none(spark, "spark.checkpoint.dir")
         if not root:
+            if not re.fullmatch(r"local(\[[^,\]]+(,[^\]]+)?\])?", sc.master):
+                raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="razonete-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
     return root.rstrip("/")
 
 
-_LOCAL_FALLBACK: dict = {}
+class NoSharedFolder(RuntimeError):
+    """On a cluster, intermediate tables need a folder that every executor sees."""
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -84,32 +85,3 @@ def _conf_or_none(spark: SparkSession, key: str):
         return spark.conf.get(key, None)
     except Exception:  # pragma: no cover - conf lookups never fail in practice
         return None
-
-
-def local_fs_path(path: str) -> str:
-    """Strip a ``file:`` scheme so a local path can be used by Python code in tests."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.normpath(path)
-
-
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a DataFrame over the cluster when its scan is too narrow.
-
-    A source stored as one unsplittable file (one parquet row group) is read
-    by one task, and every narrow step after it (regex normalisation, rule
-    evaluation) would run on one core. When the plan has fewer partitions
-    than the cluster's default parallelism, rebalance it; a large input with
-    many splits is returned untouched, so no shuffle is added at scale.
-    """
-    spark = df.sparkSession
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no local context: leave the plan as it is
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want)

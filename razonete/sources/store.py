@@ -16,6 +16,7 @@ referenced by the latest snapshot can be removed by a retention job.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 import uuid
 from collections import defaultdict
 
@@ -34,6 +35,8 @@ LOG_SCHEMA = T.StructType([
     T.StructField("LOTE", T.StringType(), True),
     T.StructField("GRAVADO_EM", T.TimestampNTZType(), True),
 ])
+PART = "PARTICAO"  # partition column: a digest of VERSAO, so any text (the empty one too) is a version
+STORED_SCHEMA = T.StructType([*LEDGER_SCHEMA.fields, T.StructField(PART, T.StringType(), True)])
 EMPTY_MARK = None  # a snapshot row with VERSAO = null records a commit that left no version
 
 
@@ -50,14 +53,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def part_of(versao) -> str:
+    return hashlib.md5((versao or "").encode()).hexdigest()
+
+
 class LedgerStore:
-    """A ledger table (schema :data:`LEDGER_SCHEMA`) partitioned by VERSAO."""
+    """A ledger table (schema :data:`LEDGER_SCHEMA`) partitioned by a digest of VERSAO (null counts as '')."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        # an empty append creates the log folder when it is missing (no-op otherwise)
-        spark.createDataFrame([], LOG_SCHEMA).write.mode("append").parquet(self.log_path)
 
     # ------------------------------------------------------------------ log
     @property
@@ -97,13 +102,13 @@ class LedgerStore:
         """The current ledger, with partition pruning when ``versions`` is given."""
         live = self.live()
         if versions is not None:
-            wanted = set(versions)
+            wanted = {v or "" for v in versions}
             live = {v: d for v, d in live.items() if v in wanted}
         by_dir: dict[str, list[str]] = defaultdict(list)
         for v, d in live.items():
             by_dir[d].append(v)
         parts = [
-            self.spark.read.schema(LEDGER_SCHEMA).parquet(d).where(F.col("VERSAO").isin(sorted(vs)))
+            self.spark.read.schema(STORED_SCHEMA).parquet(d).where(F.col(PART).isin(sorted(map(part_of, vs))))
             for d, vs in sorted(by_dir.items())
         ]
         if not parts:
@@ -126,14 +131,15 @@ class LedgerStore:
         # a unique folder per attempt: a commit that died before its log row was
         # appended leaves an invisible folder behind, and the retry never collides with it
         directory = f"{self.root}/snapshots/s={sid:010d}-{uuid.uuid4().hex[:12]}"
-        touched = set(touched)
+        touched = {v or "" for v in touched}
         written: set[str] = set()
         if touched:
-            out = rows.select(*LEDGER_COLUMNS).where(F.col("VERSAO").isin(sorted(touched)))
-            out.write.partitionBy("VERSAO").parquet(directory)
-            written = {r.VERSAO for r in self.spark.read.schema(LEDGER_SCHEMA).parquet(directory)
-                       .select("VERSAO").distinct().collect()}
-        live = {v: d for v, d in self.live().items() if v not in touched and v not in set(removed)}
+            out = (rows.select(*LEDGER_COLUMNS).withColumn("VERSAO", F.coalesce("VERSAO", F.lit("")))
+                   .where(F.col("VERSAO").isin(sorted(touched))).withColumn(PART, F.md5("VERSAO")))
+            out.write.partitionBy(PART).parquet(directory)
+            parts = {r[PART] for r in self.spark.read.schema(STORED_SCHEMA).parquet(directory).select(PART).distinct().collect()}
+            written = {v for v in touched if part_of(v) in parts}
+        live = {v: d for v, d in self.live().items() if v not in touched and v not in {x or "" for x in removed}}
         live.update({v: directory for v in written})
         stamp = as_of or _dt.datetime(1970, 1, 1)
         log_rows = [(sid, v, d, lote, stamp) for v, d in sorted(live.items())] or [(sid, EMPTY_MARK, None, lote, stamp)]
@@ -152,8 +158,6 @@ class AuditLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        # an empty append creates the table folder when it is missing (no-op otherwise)
-        spark.createDataFrame([], AUDIT_SCHEMA).write.mode("append").parquet(f"{self.path}/manual")
 
     def append(self, rows: DataFrame) -> None:
         rows.select(*AUDIT_COLUMNS).write.mode("append").parquet(f"{self.path}/manual")

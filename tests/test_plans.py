@@ -17,7 +17,7 @@ def test_contract_keys():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 70
-    missing = set(q) - set(o)
+    missing = set(q) - set(o) - set(entry.LLM)  # the optional subpackage has its own tests
     assert missing <= {"error_lines_csv"}
 
 
@@ -34,10 +34,8 @@ def test_latest_is_top_k(spark):
 
 def test_rules_in_whole_stage_codegen(spark):
     df = entry.queries()["transform_rows"](spark, SF001)
-    df.collect()  # AQE shows the final (codegen-collapsed) plan after execution
     txt = df._jdf.queryExecution().executedPlan().toString()
-    assert "isFinalPlan=true" in txt
-    txt = txt.split("== Initial Plan ==")[0]
+    assert "Exchange" not in txt  # one narrow pass, whatever the number of input splits
     rule_stage = [ln for ln in txt.splitlines() if "N_ERROS" in ln and "Project" in ln]
     assert rule_stage and all("*(" in ln for ln in rule_stage)  # inside whole-stage codegen
     assert "lambdafunction" not in txt
