@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_columns, map_batches, mix64, row_slices, text_column
@@ -122,26 +122,42 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     that id are sent to both (column ``peek``).
     """
     spark = docs.sparkSession
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     qs = [i / n for i in range(1, n)]
-    row = docs.agg(F.percentile_approx(key, F.array(*map(F.lit, qs)), F.lit(20 * n)).alias("q")).first() if qs else None
+    row = docs.agg(F.percentile_approx(key, F.array(*map(F.lit, qs)), F.lit(max(10_000, 20 * n))).alias("q")).first() if qs else None
     borders = sorted(set((row.q if row else None) or []))
-    of = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in borders]), lambda b: b < key)) if borders else F.lit(0)
-    keyed = docs.withColumn("bucket", of)
+    keyed = docs.withColumn("bucket", _range_of(key, borders))
     heads = sorted((r.bucket, r.head) for r in keyed.groupBy("bucket").agg(F.min(key).alias("head")).collect())
     if not heads:
         return docs.withColumn("bucket", F.lit(0)).withColumn("peek", F.lit(0))
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the last range looks at the very first row
-    to = F.create_map(*[F.lit(x) for head, b in before.items() for x in (head, b)])
+    # by range: its smallest id and the range before it; the last range looks at the very first row
+    head, before = [None] * (len(borders) + 1), [None] * (len(borders) + 1)
+    for i, (b, low) in enumerate(heads):
+        head[b], before[b] = low, heads[i - 1][0]
+    here = lambda values, kind: F.element_at(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("bucket") + 1)
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("peek"))
-    look = F.struct(to[key].alias("bucket"), F.lit(1).alias("peek"))
-    place = F.explode(F.when(key.isin(list(before)), F.array(own, look)).otherwise(F.array(own)))
+    look = F.struct(here(before, "int").alias("bucket"), F.lit(1).alias("peek"))
+    place = F.explode(F.when(key == here(head, "bigint"), F.array(own, look)).otherwise(F.array(own)))
     return (keyed.withColumn("place", place).select("doc_id", "text", "place.bucket", "place.peek")
-            .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
+            .repartition(n, "bucket")
             .sortWithinPartitions("bucket", "peek", "doc_id", "text"))
 
 
+def _range_of(key: Column, borders: list[int]) -> Column:
+    """The number of borders below the key, by halving: about log2 steps a row, however many borders."""
+    if not borders:
+        return F.lit(0)
+    at = F.array(*map(F.lit, borders)).cast("array<bigint>")
+    size = 1 << len(borders).bit_length()
+    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())])
+
+    def halve(low: Column, step: Column) -> Column:
+        return F.when((low + step <= len(borders)) & (F.get(at, low + step - 1) < key), low + step).otherwise(low)
+
+    return F.aggregate(steps, F.lit(0), halve)
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last quarter is taken from the next document."""
 
