@@ -59,9 +59,12 @@ def _audit(df: DataFrame, ctx: AuditContext, origem: Column, total: Column, stat
     ).select(*AUDIT_COLUMNS)
 
 
-def audit_import(batch: DataFrame, target: DataFrame, ctx: AuditContext, file_col: str = FILE_COL) -> DataFrame:
-    """A1: one row per (file, version) of an accepted batch, classified full/partial."""
-    per_file = batch.groupBy(file_col, "VERSAO").agg(F.count(F.lit(1)).alias("_n"))
+def audit_import(batch: DataFrame, target: DataFrame, ctx: AuditContext, file_col: str = FILE_COL,
+                 lot_col: str | None = None) -> DataFrame:
+    """A1: one row per (lot, version) of an accepted batch, classified full/partial; the lot is shown by its file name."""
+    lot = lot_col or file_col
+    per_file = batch.groupBy(F.col(lot).alias("_lot"), "VERSAO").agg(
+        F.count(F.lit(1)).alias("_n"), F.first(file_col).alias(file_col))
     modes = import_mode(target, batch).select("VERSAO", "STATUS")
     rows = per_file.join(modes, "VERSAO")
     detail = F.when(F.col("STATUS") == STATUS_FULL, F.lit(DETAIL_FULL)).otherwise(F.lit(DETAIL_PARTIAL))
@@ -93,7 +96,8 @@ def audit_delete_keys(ledger: DataFrame, keys: DataFrame, ctx: AuditContext) ->
     from .mutate import typed_keys
 
     keys = typed_keys(keys)
-    counts = ledger.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
+    asked = keys.select(*KEYS).distinct()
+    counts = ledger.join(asked, KEYS, "left_semi").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
     rows = keys.select(*KEYS).join(counts, KEYS, "left")
     return _audit(
         rows, ctx,

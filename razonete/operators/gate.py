@@ -1,11 +1,12 @@
 """Batch-level gates (G4-G8): whole-file rejection and export checks.
 
-A file is rejected when any of its rows has a fault. The set of bad files is a
-distinct aggregate (partial aggregation map-side, so a hot file costs one row
-per map task); the data is then split with ``left_anti`` / ``left_semi``
-against that set. AQE broadcasts the set when its measured size is under the
-broadcast threshold and falls back to a sort-merge join (with skew splitting)
-when it is not, so nothing is broadcast without a size check.
+A file is rejected when any of its rows has a fault. The validated rows are
+written once to the shared folder, so the rules run once; the set of bad files
+is an aggregate (partial aggregation map-side, so a hot file costs one row per
+map task) that is written as well. The split is a ``left_anti`` / ``left_semi``
+join of two plain scans: AQE broadcasts the set when its measured size is
+under the threshold, and beyond it can split a hot file in the sort-merge
+join, as neither side is an aggregate.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FILE_COL, LEDGER_COLUMNS
+from ..sources.store import stage
 from .validate import N_ERR_COL
 
 ACCEPTED = "ACEITO"
@@ -36,14 +38,21 @@ def bad_files(validated: DataFrame, file_col: str = FILE_COL) -> DataFrame:
     )
 
 
+def split_files(validated: DataFrame, file_col: str = FILE_COL) -> tuple[DataFrame, DataFrame]:
+    """(rows of files without any fault, rows of the others), from one evaluation of the rules."""
+    rows = stage(validated, "validated")
+    bad = stage(bad_files(rows, file_col), "bad-files")
+    return rows.join(bad, file_col, "left_anti"), rows.join(bad, file_col, "left_semi")
+
+
 def accepted_rows(validated: DataFrame, file_col: str = FILE_COL) -> DataFrame:
     """Rows of files without any fault."""
-    return validated.join(bad_files(validated, file_col), file_col, "left_anti")
+    return split_files(validated, file_col)[0]
 
 
 def rejected_rows(validated: DataFrame, file_col: str = FILE_COL) -> DataFrame:
     """Every row (faulty or not) of a file with at least one fault."""
-    return validated.join(bad_files(validated, file_col), file_col, "left_semi")
+    return split_files(validated, file_col)[1]
 
 
 def file_gate(validated: DataFrame, file_col: str = FILE_COL) -> DataFrame:

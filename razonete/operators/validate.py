@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..schema import FILE_COL, RAW_COLUMNS
+from ..sources.store import stage
 from .rules import AS_CODED, CATALOGUE, DOCUMENTED, NORMALISED_FIELDS, PREP, Row
 
 ERR_COL = "ERROS"
@@ -151,38 +152,23 @@ def line_numbers_by_content(
 
     Line = position in ``ORDER BY order_cols`` within the file, plus one for the
     header. One range shuffle over (file, order columns) cuts a hot file by its
-    own content into balanced partitions; each partition is then sorted and its
-    partition id is the segment. The partition count is explicit, so AQE never
-    coalesces this exchange and the id is the same for every consumer.
-
-    Only the numbered branch sorts. The per-segment sizes are a hash aggregate
-    over the same (reused) exchange, and a segment's first row id follows from
-    the documented layout of ``monotonically_increasing_id`` (partition index
-    in the upper bits, record number in the lower 33) plus the sizes of the
-    files sorted before it in that partition: small windows over the sizes.
+    own content into balanced partitions; each partition is sorted and written
+    once to the shared folder with its partition id (the segment) and row id.
+    Sizes and lines are read from those files, so the segments are the same
+    for every consumer whatever the optimiser reuses.
     ``order_cols`` must cover every column the caller keeps (rows that tie on
     all of them are identical, so their relative order does not matter).
     """
     order_cols = list(order_cols or [c for c in df.columns if c not in (group,)])
     n = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(group).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in order_cols]
-    ranged = df.repartitionByRange(n, *order).withColumn("_seg", F.spark_partition_id())
-    sizes = ranged.groupBy(group, "_seg").agg(F.count(F.lit(1)).alias("_n"))
-    in_seg = Window.partitionBy("_seg").orderBy(F.col(group).asc_nulls_first()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    in_file = Window.partitionBy(group).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        group, "_seg",
-        (F.shiftleft(F.col("_seg").cast("long"), 33) + F.coalesce(F.sum("_n").over(in_seg), F.lit(0)))
-        .alias("_first"),
-        F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_off"),
-    )
-    numbered = ranged.sortWithinPartitions(*order).withColumn("_rid", F.monotonically_increasing_id())
-    return (
-        numbered.join(offsets, [group, "_seg"])
-        .withColumn(out, (F.col("_off") + (F.col("_rid") - F.col("_first")) + F.lit(HEADER_LINES + 1)).cast("long"))
-        .drop("_seg", "_rid", "_off", "_first")
+    placed = stage(
+        df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        .withColumn("_seg", F.spark_partition_id())
+        .withColumn("_rid", F.monotonically_increasing_id()),
+        "lines",
     )
+    return number_contiguous(placed, group, "_seg", "_rid", start=HEADER_LINES + 1, out=out).drop("_seg", "_rid")
 
 
 def line_numbers_by_position(df: DataFrame, out: str = LINE_COL) -> DataFrame:
