@@ -81,6 +81,9 @@ def q_error_lines_csv(spark, sf):
     return V.error_lines(numbered)
 
 
+LANDED_LOT = "LOTE"   # the column of a landed file that names a line's lot
+LANDING_FILES = 16    # landed files, at least: more than one micro-batch
+
 _STREAM_SQL = f"""
 WITH v AS ({O.validated_sql(RAWO)}),
 bad AS (SELECT ARQUIVO FROM v GROUP BY ARQUIVO
@@ -95,22 +98,19 @@ FROM v WHERE ARQUIVO NOT IN (SELECT ARQUIVO FROM bad)
 
 @register("stream_ingest", _STREAM_SQL)
 def q_stream_ingest(spark, sf):
-    """Landing folder of CSV files -> availableNow stream -> ledger."""
+    """Landing folder of CSV files -> availableNow stream -> ledger.
+
+    All raw lines land, faulty or not: the stream's gate rejects the lots. An
+    order's lot is whole inside one file, which holds many lots.
+    """
     from ..streaming.ingest import run_ingest
 
     root = scratch_path(spark, "stream")
-    raw = fx.raw_by_order(spark, sf)
-    # landing files: lines of fault-free lots, and a few files that hold faults
-    v = V.apply_rules(raw)
-    unfit = (F.col(V.N_ERR_COL) > 0) | (F.length(F.coalesce("N_CENTRO_CUSTO", F.lit(""))) != 9)
-    bad = v.groupBy(FILE_COL).agg(F.max(unfit.cast("int")).alias("b")).where(F.col("b") == 1)
-    good = raw.join(bad, FILE_COL, "left_anti").select(*RAW_COLUMNS)
-    opts = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    good.write.options(**opts).option("maxRecordsPerFile", 5000).csv(f"{root}/landing")
-    raw.select(*RAW_COLUMNS).where(F.col("N_CENTRO_CUSTO").isNull()).write.options(**opts).mode("append") \
-        .csv(f"{root}/landing")
+    n = max(LANDING_FILES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    raw = fx.raw_by_order(spark, sf).withColumnRenamed(FILE_COL, LANDED_LOT)
+    files.write_csv(raw.repartition(n, LANDED_LOT), f"{root}/landing")
     store, _ = run_ingest(spark, f"{root}/landing", f"{root}/ledger", f"{root}/audit", f"{root}/checkpoint",
-                          as_of=AS_OF, max_files_per_trigger=8)
+                          as_of=AS_OF, max_files_per_trigger=8, lot_header=LANDED_LOT)
     return store.read()
 
 

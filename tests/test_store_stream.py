@@ -106,3 +106,35 @@ def test_cost_centre_gate_follows_profile(spark, tmpdir_path):
         res = import_batch(raw, store, AuditLog(spark, os.path.join(tmpdir_path, profile, "audit")), ctx,
                            profile=profile)
         assert {r.ARQUIVO for r in res.accepted.select("ARQUIVO").collect()} == expect
+
+
+def test_stream_query_lands_all_of_raw(spark, tmpdir_path, monkeypatch):
+    """Every raw line reaches the landing folder; the stream's own gate rejects the faulty lots."""
+    from razonete.plans import io_queries as IO
+
+    monkeypatch.setattr(IO, "scratch_path", lambda _, name: os.path.join(tmpdir_path, name))
+    got = IO.q_stream_ingest(spark, SF001)
+    landed = spark.read.option("header", True).csv(os.path.join(tmpdir_path, "stream", "landing"))
+    raw = fx.raw_by_order(spark, SF001)
+    assert same(landed.select(*RAW_COLUMNS), raw.select(*RAW_COLUMNS))
+    store = LedgerStore(spark, os.path.join(tmpdir_path, "one-batch"))
+    import_batch(raw, store, AuditLog(spark, os.path.join(tmpdir_path, "one-audit")), AuditContext(as_of=IO.AS_OF))
+    assert 0 < got.count() < raw.count() and same(got, store.read())
+
+
+def test_stream_gates_lots_inside_a_file(spark, tmpdir_path):
+    good = fx.raw_by_order(spark, SF001).where("FILIAL = '0101' OR FILIAL = '101'").where(
+        "VALOR IS NOT NULL AND VALOR <> 'abc' AND length(N_CENTRO_CUSTO) = 9 AND DATA <> 'data invalida'"
+        " AND DESCRICAO IS NOT NULL AND length(OPERACAO) < 9 AND RATEIO <> 'TALVEZ' AND length(ORIGEM) < 60").limit(4)
+    rows = [{c: r[c] for c in RAW_COLUMNS} for r in good.collect()]
+    rows[1]["DATA"] = "data invalida"
+    for r, lot in zip(rows, ("a", "b", "c", None)):
+        r["Lote"] = lot
+    cols = [*RAW_COLUMNS, "Lote"]
+    landing = os.path.join(tmpdir_path, "landing")
+    df = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], ", ".join(f"{c} string" for c in cols))
+    df.coalesce(1).write.option("header", True).csv(landing)
+    store, audit = run_ingest(spark, landing, os.path.join(tmpdir_path, "ledger"), os.path.join(tmpdir_path, "audit"),
+                              os.path.join(tmpdir_path, "ckpt"), as_of=AS_OF, lot_header="Lote")
+    assert sorted(r.N_CENTRO_CUSTO for r in store.read().collect()) == sorted(r["N_CENTRO_CUSTO"] for k, r in enumerate(rows) if k != 1)
+    assert audit.read().count() == 3
