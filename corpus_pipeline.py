@@ -23,9 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id; rows without words or id stay."""
-    gone = odd_sketch.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
+    """One row of each group of near-duplicates: that of the smallest id; rows without words or id stay.
+
+    Rows that share an id are told apart by their texts' sets; of rows that repeat an id and its set, one stays.
+    """
+    return odd_sketch.drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bit_positions, bits_hit, collect_two, doc_columns, map_batches, mix64, pack_two, salted_join, stage, text_column
+from .common import bit_positions, bits_hit, collect_two, doc_columns, map_batches, mix64, pack_two, row_slices, salted_join, stage, text_column
 from .textscan import rolling, run_starts, words
 
 SHINGLE, MIN_PERCENT = 5, 75
@@ -183,8 +184,8 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, done: DataFrame) -> DataFr
     return pairs.join(done, ["x", "y"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; one id of each component is kept."""
+def _grouped(docs: DataFrame, min_percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and (doc_id, cls, label) of the rows that can link: rows of one label are one group."""
     spark = docs.sparkSession
     docs = doc_columns(docs, id_col, text_col)
     table = stage(document_sets(docs), "odd-sets")
@@ -240,6 +241,12 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT, id_col: str
         labels = components(edges.union(more), "odd-labels")
     named = stage(salted_join(linked.select("doc_id", "cls"), labels, ["cls"], [F.col("doc_id")], salts=8)
                   .select("doc_id", "cls", F.coalesce("label", "cls").alias("label")), "odd-named")
+    return table, named
+
+
+def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; one id of each component is kept."""
+    table, named = _grouped(docs, min_percent, id_col, text_col)
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"))
     found = stage(lowest.where("component_id < last").select("label", "component_id"), "odd-lowest")
     joined = salted_join(named, found, ["label"], [F.col("doc_id")], salts=8).select(
@@ -248,3 +255,46 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT, id_col: str
     return (row.join(joined, (row.doc_id == joined.id) & (row.cls == joined.c), "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def drop_near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one row of each group, all rows without words or id.
+
+    A group's row is that of its smallest id and, where rows share that id, of
+    its smallest class; of rows that share both, the first by text and the
+    other columns. Rows are told apart by id and class where an id repeats.
+    """
+    table, named = _grouped(docs, min_percent, id_col, text_col)
+    keys = stage(named.groupBy("label", "doc_id", "cls").count(), "odd-keys")
+    first = (keys.groupBy("label").agg(F.min(F.struct("doc_id", "cls")).alias("first"), F.sum("count").alias("n"))
+             .where("n > 1").select("label", "first"))
+    verdict = stage(salted_join(keys, stage(first, "odd-first"), ["label"], [F.col("doc_id"), F.col("cls")], salts=8, how="inner").select(
+        "doc_id", "cls", "count", (F.struct("doc_id", "cls") == F.col("first")).alias("stays")), "odd-verdict")
+    gone = verdict.where("not stays").select(F.col("doc_id").alias("_id"), F.col("cls").alias("_c"))
+    ids = table.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    own = F.col(id_col).cast("long")
+    if ids.isEmpty():
+        return docs.join(gone.select("_id"), own == F.col("_id"), "left_anti")
+
+    def run(batches):
+        for b in batches:
+            for i, j in row_slices(text_column(b, text_col)):
+                part = b.slice(i, j - i)
+                h, at = shingle_sets(text_column(part, text_col))
+                full = np.flatnonzero(np.diff(at) > 0)
+                cls = np.zeros(len(part), np.int64)
+                cls[full] = set_keys(h, np.append(at[full], len(h)))
+                none = np.ones(len(part), bool)
+                none[full] = False
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cls, mask=none)], [*part.schema.names, "_cls"])
+
+    kept = (docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_cls", T.LongType())]))
+            .join(gone, (own == F.col("_id")) & (F.col("_cls") == F.col("_c")), "left_anti"))
+    again = verdict.where("stays and count > 1").select(F.col("doc_id").alias("_id"), F.col("cls").alias("_c"))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    same = (own == F.col("_id")) & (F.col("_cls") == F.col("_c"))
+    sortable = [F.col(f.name) for f in docs.schema.fields if f.name != text_col and "map<" not in f.dataType.simpleString()]
+    one = (kept.join(again, same, "left_semi").groupBy(own, "_cls")
+           .agg(F.min_by(F.struct(*docs.columns), F.struct(text_col, *sortable)).alias("_row")).select("_row.*"))
+    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(one)

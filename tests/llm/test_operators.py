@@ -262,3 +262,18 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF001)
     rows = out.collect()
     assert rows and {r.doc_id for r in rows} <= ids and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_near_dedup_rows_of_one_id(spark):
+    """Rows that share an id: only the duplicate goes; rows that repeat id and text: one stays."""
+    import corpus_pipeline
+
+    a, b, c, d = BODY[:4]
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (2, None, "x"), (3, c, "x"), (3, c, "x"), (3, c.upper(), "y"), (4, c, "x"),
+            (5, d, "x"), (5, d + " tail", "x"), (None, a, "x"), (None, a, "x"), (6, "", "x"), (6, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    got = Counter(map(tuple, out.collect()))
+    fives = [r for r in got.elements() if r[0] == 5]
+    assert out.columns == docs.columns and len(fives) == 1 and fives[0] in rows
+    assert got - Counter(fives) == Counter([(1, a, "x"), (2, b, "x"), (2, None, "x"), (3, c.upper(), "y"), (None, a, "x"), (None, a, "x"), (6, "", "x"), (6, "", "x")])
