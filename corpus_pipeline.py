@@ -51,7 +51,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix", mix), ("tokenize", tokenize)]
 
-#: a fitted model and byte-pair merges cannot be written in SQL; tests hold the stages against brute force
+#: a fitted model and byte-pair merges cannot be written in SQL; test_pipeline_rows holds the stages against a plain-Python chain
 ORACLE_SQL = None
 
 

@@ -277,3 +277,60 @@ def test_near_dedup_rows_of_one_id(spark):
     fives = [r for r in got.elements() if r[0] == 5]
     assert out.columns == docs.columns and len(fives) == 1 and fives[0] in rows
     assert got - Counter(fives) == Counter([(1, a, "x"), (2, b, "x"), (2, None, "x"), (3, c.upper(), "y"), (None, a, "x"), (None, a, "x"), (6, "", "x"), (6, "", "x")])
+
+
+def test_pipeline_rows(spark, tmpdir_path):
+    """run() against a plain-Python chain of the stages, row for row; scores and shares are the operators' own."""
+    import corpus_pipeline
+    import tiktoken
+
+    from razonete.llm.textscan import words as scan
+
+    rng = np.random.default_rng(5)
+    good = [" ".join(f"word{k}" for k in rng.integers(0, 4000, 60 + 3 * i)) for i in range(24)]
+    texts = {i: t for i, t in enumerate(good)} | {100 + i: "spam!! buy $$$ " * (30 + i) for i in range(16)}
+    texts |= {24: good[0], 25: good[1] + " end", 26: good[2] + "\n" + PASSAGE, 27: PASSAGE + " " + good[3][::-1]}
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in texts.items()]
+    rows += [(5, " ".join(f"other{k}" for k in range(90)), "en", "s1", 1), (24, " ".join(f"else{k}" for k in range(70)), "en", "s0", 1), (6, good[6], "en", "s0", len(good[6]))]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 100)) for i in texts], "doc_id bigint, quality int").write.parquet(f"{tmpdir_path}/labels.parquet")
+    model = mil_quality.fit(*(spark.read.parquet(f"{tmpdir_path}/{t}.parquet") for t in ("documents", "labels")))
+    score = lambda t: model.score(*mil_quality.passages(scan(pa.array([t], pa.large_string()))))[0]
+    kept = sorted(r for r in rows if score(r[1]) >= mil_quality.THRESHOLD)
+    assert 20 < len(kept) < len(rows)
+
+    sets, group = [set(zip(*[words(r[1].translate(LOWER))[k:] for k in range(5)])) for r in kept], list(range(len(kept)))
+    for a in range(len(kept)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    near = [kept[k] for k in range(len(kept)) if k == min(j for j in range(len(kept)) if group[j] == group[k])]
+    assert len(near) < len(kept)
+
+    first, cut = {}, []
+    for i, t, lang, source, n in near:
+        for k in range(len(words(t)) - 12):
+            first[tuple(words(t)[k:k + 13])] = min(i, first.get(tuple(words(t)[k:k + 13]), i))
+    for i, t, lang, source, n in near:
+        w, gone = words(t), set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k:k + 13])] < i:
+                gone |= set(range(k, k + 13))
+        t = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t
+        cut.append((i, t, lang, source, len(t)))
+    assert cut != near
+
+    share = {(r.doc_id, r.size): r.taken for r in source_mix.mix_table(spark.createDataFrame(cut, schema)).collect()}
+    mixed = [r for r in cut for _ in range(share[r[0], len(words(r[1]))] // len(words(r[1])))]
+    docs = spark.read.parquet(f"{tmpdir_path}/documents.parquet")
+    for (name, stage), want in zip(corpus_pipeline.STAGES, (kept, near, cut, mixed)):
+        docs = spark.createDataFrame(stage(spark, docs, tmpdir_path).collect(), schema)
+        assert Counter(map(tuple, docs.collect())) == Counter(want), name
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = Counter((i, len(e := enc.encode_ordinary(t)), sha(" ".join(map(str, e))), sha(t)) for i, t, *_ in mixed)
+    assert Counter(map(tuple, corpus_pipeline.run(spark, tmpdir_path).collect())) == want
