@@ -849,6 +849,11 @@ def q_validation_totals(spark, sf):
     return RP.validation_totals(_validated(spark, sf))
 
 
+def _totals(out: DataFrame) -> DataFrame:
+    """The columns of the oracle; a total that is not the sum of all its rows is null there."""
+    return out.select("VERSAO", "FILIAL", "NIVEL", "REGISTROS", F.col("TOTAL_VALOR").cast("decimal(38,2)").alias("TOTAL_VALOR"))
+
+
 @register("totals_by_category", f"""
 SELECT VERSAO, FILIAL, CAST(grouping(VERSAO, FILIAL) AS INTEGER) AS NIVEL, count(*) AS REGISTROS,
   CAST(sum(CAST(VALOR AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS TOTAL_VALOR
@@ -856,14 +861,14 @@ FROM ({_TO_LEDGER_SQL}) GROUP BY ROLLUP (VERSAO, FILIAL)
 """)
 def q_totals_by_category(spark, sf):
     out = RP.totals_of_accepted(_validated(spark, sf, fx.LOT_BY_ORDER))
-    return out.withColumn("TOTAL_VALOR", F.col("TOTAL_VALOR").cast("decimal(38,2)"))
+    return _totals(out)
 
 
 @register("totals_by_category_rows", ORACLE["totals_by_category"])
 def q_totals_by_category_rows(spark, sf):
     """The same report through the row-level path (gate, ledger projection, rollup)."""
     out = RP.totals_by_category(_accepted_ledger(spark, sf))
-    return out.withColumn("TOTAL_VALOR", F.col("TOTAL_VALOR").cast("decimal(38,2)"))
+    return _totals(out)
 
 
 @register("ledger_totals", f"""
@@ -873,4 +878,4 @@ FROM ({_MERGE_SQL}) GROUP BY ROLLUP (VERSAO, FILIAL)
 """)
 def q_ledger_totals(spark, sf):
     merged = M.merge_upsert(fx.led(spark, sf), fx.delta(spark, sf), as_of=AS_OF)
-    return RP.totals_by_category(merged).withColumn("TOTAL_VALOR", F.col("TOTAL_VALOR").cast("decimal(38,2)"))
+    return _totals(RP.totals_by_category(merged))
