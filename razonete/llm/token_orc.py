@@ -11,6 +11,8 @@ corpus-wide offset of a document needs only one total a part.
 Defined cases: a null text is empty and has only the end id; a null id sorts
 first; rows that share an id follow each other in the order of their texts;
 an empty table gives an empty result; other columns of the input are ignored.
+The strings of the tokenizer's special tokens become those tokens' ids, as the
+library does by default.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,17 +37,37 @@ STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1_000
 ORC_SCHEMA = "doc_id bigint, part int, local_start bigint, n_tokens int, ids array<int>"
 ODD_SPACE = regex.compile(r"\s")
-_encoders: dict[str, SegmentEncoder] = {}
+_encoders: dict[str, MarkedEncoder] = {}
 
 
-def _encoder(tokenizer_file: str) -> SegmentEncoder:
-    """One encoder a worker process; the special tokens' strings in a text are ordinary text."""
+class MarkedEncoder:
+    """Segments for ordinary texts; a text that holds a marker (an added token's string) is encoded in one piece."""
+
+    def __init__(self, ids: Callable[[list[str]], list[bytes]], encode_new: Callable[[list[str]], list[bytes]], markers: list[str]):
+        self.ids, self.markers, self.segments = ids, markers, SegmentEncoder(encode_new)
+
+    def encode(self, text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of ids of each text."""
+        marked = np.zeros(len(text), bool)
+        for m in self.markers:
+            marked |= pc.match_substring(text, m).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self.segments.encode(text)
+        flat, lengths = self.segments.encode(pc.if_else(pa.array(marked), pa.scalar("", pa.large_string()), text))
+        parts = np.split(flat, np.cumsum(lengths)[:-1])
+        at = np.flatnonzero(marked).tolist()
+        for i, raw in zip(at, self.ids([text[i].as_py() for i in at])):
+            parts[i] = np.frombuffer(raw, "<u4")
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+
+def _encoder(tokenizer_file: str) -> MarkedEncoder:
+    """One encoder a worker process."""
     if tokenizer_file not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_file)
-        tok.encode_special_tokens = True
         newline = tok.encode("\n", add_special_tokens=False).ids
 
         def ids(texts: list[str]) -> list[bytes]:
@@ -71,7 +94,8 @@ def _encoder(tokenizer_file: str) -> SegmentEncoder:
             out.update(zip(rest, ids(rest)))
             return [out[s] for s in new]
 
-        _encoders[tokenizer_file] = SegmentEncoder(encode_new)
+        markers = [t.content for t in tok.get_added_tokens_decoder().values() if t.content]
+        _encoders[tokenizer_file] = MarkedEncoder(ids, encode_new, markers)
     return _encoders[tokenizer_file]
 
 

@@ -264,6 +264,19 @@ def test_pipeline(spark):
     assert rows and {r.doc_id for r in rows} <= ids and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_token_orc_marker(spark):
+    """A special token's string in a text is that token, as in an unmodified Tokenizer."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["plain text", "hello <|endoftext|> there", "a\n <|endoftext|>\n b<|endoftext|>", "", "after it", None]
+    path = scratch_path(spark, "t-orc")
+    token_orc.write_token_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), path, P.path("byte_bpe_50k.json"), partitions=2)
+    got = {r.doc_id: list(r.ids) for r in token_orc.read_token_ids(spark, path).collect()}
+    assert got == {i: tok.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert 50256 in got[1]
+
+
 def test_near_dedup_rows_of_one_id(spark):
     """Rows that share an id: only the duplicate goes; rows that repeat id and text: one stays."""
     import corpus_pipeline
