@@ -5,7 +5,9 @@ Every passage is turned into byte-class densities and word-repetition rates
 and encoded by a learned layer; gated attention, learned from document
 labels alone, weighs the passages, and a logistic unit scores the weighted
 passage representation. Features and scores of all documents are computed in
-the tasks; the model is fitted on a bounded sample of labelled documents.
+the tasks; the model is fitted on a bounded sample of labelled documents and,
+of a document of more than ``FIT_PASSAGES`` passages, on that many drawn by hash
+over the whole text. Scores always use all passages.
 
 Defined cases: a null or empty text is a bag of one empty passage and gets a
 score like any other; rows that share an id are scored one by one; labels that
@@ -28,6 +30,7 @@ from .textscan import Words, words
 
 PASSAGE_WORDS = 64
 MAX_DOCS = 4_000           # labelled documents to fit on, at most (half of either label)
+FIT_PASSAGES = 32          # passages of a document to fit on, at most: 256,000 feature rows on the driver at 2 * MAX_DOCS rows
 THRESHOLD = 0.7
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY, SEED = 24, 12, 150, 0.02, 1e-4, 7
 #: byte classes: ASCII marks one by one, then groups
@@ -133,12 +136,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def drawn(x: np.ndarray, first: np.ndarray, ids: np.ndarray, most: int = FIT_PASSAGES) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` passages of each document, those of the smallest hashes of id and place, in their order."""
+    n = np.diff(first)
+    owner = np.repeat(np.arange(len(n)), n)
+    place = (np.arange(len(x)) - first[owner]).astype(np.uint64)
+    h = mix64(mix64(ids.view(np.uint64))[owner] + place * np.uint64(0x9E3779B97F4A7C15))
+    order = np.lexsort((h, owner))
+    take = np.sort(order[np.arange(len(x)) - first[owner] < most])
+    return x[take], np.concatenate([[0], np.cumsum(np.minimum(n, most))])
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``max_docs`` labelled documents; their passage features come to the driver, no text does."""
+    """Fit on at most ``max_docs`` labelled documents; the features of up to ``FIT_PASSAGES`` passages of each come to the driver, no text does."""
     ids = labelled_ids(labels, max_docs // 2, id_col, where=~held_out(F.col("doc_id")))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        x, first = passages(words(text_column(b)))
+        x, first = drawn(*passages(words(text_column(b))), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
         raw = x.astype("<f4")
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(
             [raw[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["doc_id", "label", "x"])

@@ -277,6 +277,20 @@ def test_token_orc_marker(spark):
     assert 50256 in got[1]
 
 
+def test_quality_fitting_sample_is_bounded(spark, monkeypatch):
+    most = mil_quality.FIT_PASSAGES
+    x, first = np.arange((most + 500) * 2, dtype=float).reshape(-1, 2), np.array([0, 3, 3 + most + 400, most + 500])
+    a, at = mil_quality.drawn(x, first, np.array([7, 8, 9]))
+    assert np.diff(at).tolist() == [3, most, most] and (a[:3] == x[:3]).all()
+    own = a[3:3 + most, 0]
+    assert (np.diff(own) > 0).all() and own[-1] > x[3 + most, 0]      # in order, from the whole text
+    seen = []
+    monkeypatch.setattr(mil_quality, "fit_model", lambda x, first, y: seen.append(np.diff(first)))
+    docs = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(64_000))), (1, "one")], "doc_id bigint, text string")
+    mil_quality.fit(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int"))
+    assert sorted(seen[0].tolist()) == [1, most]
+
+
 def test_near_dedup_rows_of_one_id(spark):
     """Rows that share an id: only the duplicate goes; rows that repeat id and text: one stays."""
     import corpus_pipeline
