@@ -1,6 +1,6 @@
 """Operators for training-data pipelines.
 
-Ten operators over the tables ``documents``, ``pages``, ``labels`` and
-``conversations``. Nothing outside this subpackage (and ``corpus_pipeline.py``)
+Thirteen operators over the tables ``documents``, ``embeddings``, ``pages``,
+``labels`` and ``conversations``. Nothing outside this subpackage (and ``corpus_pipeline.py``)
 imports it; ``queries.py`` registers one query per operator.
 """

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, bpe_matrix, mil_quality, multiset_fingerprint, odd_sketch, reply_trees, source_mix, text_rules, token_orc, warc_index
+from . import (block_anchors, bpe_matrix, dual_tree_codes, mil_quality, multiset_fingerprint, odd_sketch, packed_negatives, reply_trees, sliced_simhash,
+               source_mix, text_rules, token_orc, warc_index)
 from .common import WORD, scratch_path
 
 #: a conversation whose texts hold control strings, added to the table (fixed value)
@@ -79,15 +80,69 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliced_simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree_codes.codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_packed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    table = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return packed_negatives.hard_negatives(table, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_orc, op2_mil_quality, op3_boosted_rules, op4_multiset_fingerprint, op5_odd_sketch, op6_block_anchors,
-    op7_source_mix, op8_bpe_matrix, op9_warc_index, op10_reply_trees, pipeline)}
+    op7_source_mix, op8_bpe_matrix, op9_warc_index, op10_reply_trees, op11_sliced_simhash, op12_dual_tree_codes, op13_packed_negatives, pipeline)}
+
+#: the usable rows of embeddings, their components as integers, numbered
+_VECTORS = """SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v, row_number() OVER () AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def codes_sql(parts: int = dual_tree_codes.PARTS, entries: int = dual_tree_codes.ENTRIES, rounds: int = dual_tree_codes.ROUNDS) -> str:
+    far = "list_sum(list_transform(range(1, len(p.v) + 1), lambda j: (p.v[j] - b.v[j]) * (p.v[j] - b.v[j])))::BIGINT"
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f"""
+a{k} AS (SELECT p.r, p.part, min({{'far': {far}, 'entry': b.entry}}) AS m FROM p JOIN b{k} b ON p.part = b.part GROUP BY p.r, p.part),"""
+        if k < rounds:
+            steps += f"""
+s{k} AS (SELECT part, entry, j, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (
+  SELECT p.part, a.m.entry AS entry, unnest(range(1, len(p.v) + 1)) AS j, unnest(p.v) AS x FROM p JOIN a{k} a ON p.r = a.r AND p.part = a.part) GROUP BY ALL),
+t{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM s{k} GROUP BY part, entry),
+b{k + 1} AS (SELECT b.part, b.entry, coalesce(t.v, b.v) AS v FROM b{k} b LEFT JOIN t{k} t ON b.part = t.part AND b.entry = t.entry),"""
+    return f"""
+WITH e AS ({_VECTORS}),
+w AS (SELECT max(len(v)) // {parts} AS d FROM e),
+p AS (SELECT e.r, e.vec_id, q.part, list_slice(e.v, q.part * w.d + 1, q.part * w.d + w.d) AS v FROM e, w, range({parts}) q(part)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM e QUALIFY entry < {entries}),
+b0 AS (SELECT p.part, f.entry, p.v FROM p JOIN f ON p.r = f.r),{steps}
+c AS (SELECT r, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, sum(m.far)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, j)) AS h FROM (
+  SELECT part, entry, unnest(range(1, len(v) + 1)) AS j, unnest(v) AS x FROM b{rounds}))
+SELECT e.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY e.label))::BIGINT AS label_error, h.h AS codebooks_sha256
+FROM e JOIN c ON e.r = c.r, h"""
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_dual_tree_codes": codes_sql(),
+    "op13_packed_negatives": f"""
+WITH e AS (SELECT vec_id, v, r, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM ({_VECTORS}) WHERE label IS NOT NULL),
+s AS (SELECT a.r, a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same,
+             list_sum(list_transform(range(1, len(a.v) + 1), lambda j: a.v[j] * c.v[j]))::BIGINT AS score
+      FROM e a JOIN e c ON a.r <> c.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.id))::INTEGER AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.r = s.r WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY rank <= 5""",
     "op6_block_anchors": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 p AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d WHERE len(w) >= 13),

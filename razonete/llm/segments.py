@@ -7,9 +7,9 @@ run of white space that holds a space followed by more white space (or by the
 end of the text) reads differently in parts; such a text is one segment.
 
 Segments are found and hashed in the UTF-8 buffer with arrays and looked up in
-an open-addressing table of the worker process. The table keeps, beside a
-64-bit hash, the length and outer bytes of a segment; it grows with the
-distinct segments, is emptied when full and never changes a result.
+an open-addressing table of the worker process. The table tells segments apart
+by two independent 64-bit hashes of all their bytes (128 bits together); it
+grows with the distinct segments and is emptied when full.
 """
 
 from __future__ import annotations
@@ -124,10 +124,7 @@ class SegmentEncoder:
             return np.zeros(0, "<u4"), np.zeros(len(text), np.int64)
         end = np.append(start[1:], len(data))
         key = span_hash(data, start, end)
-        pick = lambda p: data[np.minimum(np.maximum(p, start), end - 1)].astype(np.uint64)
-        check = (end - start).astype(np.uint64) << np.uint64(32)
-        for k, p in enumerate((start + 1, start + 2, end - 1, end - 2)):
-            check |= pick(p) << np.uint64(8 * k)
+        check = span_hash(data, start, end, 1)
         if self.table.entries > self.entries:
             self.table = _Table()
         table = self.table

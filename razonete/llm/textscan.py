@@ -1,9 +1,8 @@
 """Vectorised word hashing over the UTF-8 buffer of an Arrow text column.
 
-A text is never turned into Python words: byte masks give the word spans, and
-a polynomial hash of every word comes from one running sum (arithmetic modulo
-2**64; an odd base has an inverse, so a word's hash is the difference of two
-sums times a power of the inverse). A finaliser spreads the result. All arrays
+A text is never turned into Python words: byte masks give the word spans. A
+span is hashed eight bytes at a time, all spans side by side; each step mixes
+the next eight bytes into the hash so far (long spans go to xxHash). All arrays
 are a few times the size of the slice at hand.
 """
 
@@ -13,27 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .common import mix64
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_CHUNK = 1 << 20
+_LONG = 256  # spans of more bytes are hashed one by one
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(which: str, n: int) -> np.ndarray:
-    p = _powers.get(which)
-    if p is None or len(p) < n:
-        base = _BASE if which == "up" else _INVERSE
-        p = np.full(max(n, _CHUNK + 1), base, np.uint64)
-        p[0] = 1
-        p = np.multiply.accumulate(p)
-        if n <= 8 * _CHUNK:
-            _powers[which] = p
-    return p
 
 
 @dataclass
@@ -71,42 +56,52 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans (sorted, not overlapping), chunk by chunk."""
-    out = np.zeros(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = int(np.searchsorted(end, start[i] + _CHUNK, side="right"))
-        j = max(j, i + 1)
-        a, b = int(start[i]), int(end[j - 1])
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_power("up", b - a + 1)[:b - a] * (data[a:b].astype(np.uint64) + np.uint64(1)), out=total[1:])
-        s, e = start[i:j] - a, end[i:j] - a
-        h = (total[e] - total[s]) * _power("down", b - a + 1)[s]
-        out[i:j] = mix64(h + (e - s).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        i = j
-    return out
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans; different seeds give independent hashes."""
+    length = (end - start).astype(np.int64)
+    h = mix64((length.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+    room = np.zeros(len(data) + 8, np.uint8)
+    room[:len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", room, strides=(1,))  # the eight bytes from every position on
+    at, done = np.flatnonzero((length > 0) & (length <= _LONG)), 0
+    while len(at):
+        left = length[at] - done
+        x = eight[start[at] + done]
+        cut = left < 8
+        x[cut] &= (np.uint64(1) << (left[cut].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        h[at] = mix64((h[at] ^ x) + np.uint64(0x9E3779B97F4A7C15))
+        done += 8
+        at = at[length[at] > done]
+    for i in np.flatnonzero(length > _LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i]:end[i]].tobytes(), seed)
+    return h
+
+
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words of texts data[off[i]:off[i+1]], and the index of each text's first word."""
+    n = len(data)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(off), np.int64)
+    inside = ~SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = off[:-1][off[:-1] < n]
+    begins[at] = inside[at]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    last = off[1:][off[1:] > 0] - 1
+    ends[last] = inside[last]
+    start = np.flatnonzero(begins)
+    return start, np.flatnonzero(ends) + 1, np.searchsorted(start, off)
 
 
 def words(text: pa.LargeStringArray, lower: bool = False) -> Words:
     data, off = text_bytes(text)
     if lower:
         data = lower_ascii(data)
-    n = len(data)
-    inside = ~SPACE[data]
-    begins = inside.copy()
-    if n:
-        begins[1:] &= ~inside[:-1]
-        at = off[:-1][off[:-1] < n]
-        begins[at] = inside[at]
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:]
-        last = off[1:][off[1:] > 0] - 1
-        ends[last] = inside[last]
-        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    else:
-        start = end = np.zeros(0, np.int64)
-    return Words(data, off, start, end, span_hash(data, start, end), np.searchsorted(start, off))
+    start, end, first = word_spans(data, off)
+    return Words(data, off, start, end, span_hash(data, start, end), first)
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
