@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -15,10 +15,32 @@ from ..sources.store import stage
 #: a word, everywhere in this subpackage (fixed value)
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "stage", "scratch_path", "salted_join", "doc_columns", "row_slices", "text_column",
+__all__ = ["WORD", "stage", "Workspace", "scratch_path", "salted_join", "doc_columns", "row_slices", "text_column",
            "mix64", "bit_positions", "pack_two", "collect_two", "bits_hit", "map_batches"]
 
 
+class Workspace:
+    """Tables written by one step, deleted together once nothing reads them any more.
+
+    ``stage`` writes a table under the shared folder and returns it as read
+    back; ``close`` deletes all of them. What outlives the step is written
+    with ``common.stage`` instead.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, scratch_path(spark, name), 0
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}-{name}"
+        df.write.mode("errorifexists").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id (long) and the whole text (null: empty) under fixed names; other columns are dropped."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),

@@ -4,21 +4,28 @@
    sequence if shorter). Its MinHash samples are cut into ``BANDS`` bands of
    ``ROWS`` values and folded into an odd sketch: a bitmap in which every
    sample flips one bit.
-2. Documents of equal sets form a class, named by a 64-bit key of the set.
-   Classes that agree in a band share a bucket.
+2. Documents of equal sets form a class. Classes that agree in a band share a
+   bucket.
 3. The first round compares every member of a bucket with the bucket's
    smallest member only. The symmetric difference of two sketches (the
    population count of their XOR) estimates the similarity; pairs well below
    the threshold are dropped, the rest are confirmed on their full sets.
-4. Confirmed links are closed to components. The second round compares, in the
-   buckets that still hold several components, the members of different
-   components, each pair once; so no link between buckets' members is lost
-   and members already linked are never paired.
-
-Sizes: nothing but a bit filter of fixed size passes through the driver. Copies
-meet in map-side aggregates. Hot buckets are joined with salts.
-
-Defined cases: texts without words (null, empty) link with nothing; a null id
+4. Confirmed links are closed to components. Buckets that still hold several
+   components are open. Their members are not paired inside the bucket: each
+   is dealt by the rarest shingles of its set, so many that two sets above the
+   threshold must share one (prefix filtering; shingles that only one component
+   has come first, so they lead to no pair). Members of different components
+   that meet there and whose sizes allow it are compared like the first pairs.
+
+The second round is exact: it drops no pair above the threshold, and members
+that share only common shingles do not meet.
+
+Sizes: nothing but a bit filter of a fixed size passes through the driver. Copies
+meet in map-side aggregates. Hot keys are joined with salts, or between written
+tables, where Spark splits them.
+
+Shingles are told apart by 64-bit hashes, sets by two 64-bit keys. Defined
+cases: texts without words (null, empty) link with nothing; a null id
 links with nothing and keeps its row, its component is null; rows that share
 an id are placed each by its own text; other columns are ignored.
 """
@@ -31,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bit_positions, bits_hit, collect_two, doc_columns, map_batches, mix64, pack_two, row_slices, salted_join, stage, text_column
+from .common import Workspace, bit_positions, bits_hit, collect_two, doc_columns, map_batches, mix64, pack_two, row_slices, salted_join, stage, text_column
 from .textscan import rolling, run_starts, words
 
 SHINGLE, MIN_PERCENT = 5, 75
@@ -39,11 +46,10 @@ BANDS, ROWS = 48, 4
 SKETCH_LONGS = 8                 # 512 bits
 LOWEST_ESTIMATE = 0.5            # over five standard errors of 192 samples below 0.75
 ID_FILTER_BITS, ID_FILTER_HASHES = 1 << 23, 2
-BUCKET_FILTER_BITS = 1 << 27     # 16 MB
 PAIRS_PER_SALT = 256             # a member of more pairs than this is dealt over several tasks
 _A = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _X = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-SETS = "doc_id bigint, n_shingles bigint, cls bigint, bands array<bigint>, sketch array<bigint>"
+SETS = "doc_id bigint, n_shingles bigint, cls bigint, other bigint, bands array<bigint>, sketch array<bigint>"
 
 
 def shingle_sets(text: pa.LargeStringArray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -78,45 +84,46 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return bands.view(np.int64), sketch
 
 
-def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+def set_keys(h: np.ndarray, first: np.ndarray, seed: int = 0x94D049BB133111EB) -> np.ndarray:
     """A 64-bit key of each non-empty set, from the sum of its re-hashed members."""
-    return mix64(np.add.reduceat(mix64(h ^ np.uint64(0x94D049BB133111EB)), first[:-1])).view(np.int64) if len(h) else np.zeros(0, np.int64)
+    return mix64(np.add.reduceat(mix64(h ^ np.uint64(seed)), first[:-1])).view(np.int64) if len(h) else np.zeros(0, np.int64)
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """One row per document: set size, key of the set (its class), band keys and sketch; nulls for empty sets."""
+    """One row per document: set size, two keys of the set, band keys and sketch; nulls for empty sets."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         h, first = shingle_sets(text_column(b))
         size = np.diff(first)
         full = np.flatnonzero(size > 0)
         cls: list = [None] * len(size)
+        other: list = [None] * len(size)
         bands: list = [None] * len(size)
         sketch: list = [None] * len(size)
         if len(full):
             cut = np.append(first[full], len(h))
-            for i, c, x, y in zip(full.tolist(), set_keys(h, cut).tolist(), *signatures(h, cut)):
-                cls[i], bands[i], sketch[i] = c, x, y
+            for i, c, o, x, y in zip(full.tolist(), set_keys(h, cut).tolist(), set_keys(h, cut, 0xD6E8FEB86659FD93).tolist(), *signatures(h, cut)):
+                cls[i], other[i], bands[i], sketch[i] = c, o, x, y
         return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()),
+            [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(other, pa.int64()),
              pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "cls", "bands", "sketch"])
+            ["doc_id", "n_shingles", "cls", "other", "bands", "sketch"])
 
     return map_batches(docs, run, SETS)
 
 
 # ------------------------------------------------------------ exact check
-def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _dealt(ws: Workspace, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs with a salt, and the (y, salt) rows they use: one for every ``PAIRS_PER_SALT`` pairs of y."""
-    pairs = stage(pairs, "odd-pairs")
-    of = stage(pairs.groupBy("y").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("long").alias("salts")), "odd-salts")
+    pairs = ws.stage(pairs, "pairs")
+    of = ws.stage(pairs.groupBy("y").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("long").alias("salts")), "salts")
     own = pairs.join(of, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt"))
     return own, of.select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
+def _confirmed(ws: Workspace, pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
     """The pairs (x, y) whose full sets pass; ``y`` may be hot."""
-    own, ys = _dealt(pairs)
+    own, ys = _dealt(ws, pairs)
     right = ys.join(sets.select(F.col("cls").alias("y"), F.col("members").alias("ym")), "y")
     both = own.join(right, ["y", "salt"]).join(sets.select(F.col("cls").alias("x"), F.col("members").alias("xm")), "x")
 
@@ -133,9 +140,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame
     return both.select("x", "y", "xm", "ym").mapInArrow(run, "x bigint, y bigint")
 
 
-def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _near(ws: Workspace, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs whose odd sketches do not rule them out."""
-    own, ys = _dealt(pairs)
+    own, ys = _dealt(ws, pairs)
     xs = reps.select(F.col("cls").alias("x"), F.col("sketch").alias("sx"))
     right = ys.join(reps.select(F.col("cls").alias("y"), F.col("sketch").alias("sy")), "y")
     both = own.join(right, ["y", "salt"]).join(xs, "x")
@@ -146,75 +153,91 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.where(estimate >= LOWEST_ESTIMATE).select("x", "y")
 
 
-def components(edges: DataFrame, name: str = "labels") -> DataFrame:
+def components(edges: DataFrame, name: str = "labels", ws: Workspace | None = None) -> DataFrame:
     """(cls, label): the smallest node that each node of ``edges`` (x, y) reaches.
 
     Every round takes the smallest label among the neighbours and then follows
     that label's own label; labels are written to the shared folder each round.
     """
-    both = stage(edges.select("x", "y").union(edges.select(F.col("y"), F.col("x"))), f"{name}-edges")
-    labels = stage(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("cls"), F.least("x", "m").alias("label")), name)
+    write = ws.stage if ws else stage
+    both = write(edges.select("x", "y").union(edges.select(F.col("y"), F.col("x"))), f"{name}-edges")
+    labels = write(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("cls"), F.least("x", "m").alias("label")), name)
     while True:
         seen = (both.join(labels.select(F.col("cls").alias("y"), "label"), "y")
                 .groupBy(F.col("x").alias("cls")).agg(F.min("label").alias("near")))
         step = labels.join(seen, "cls").select("cls", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("cls").alias("low"), F.col("label").alias("next"))
-        new = stage(step.join(jump, "low", "left").select("cls", F.least("low", "next").alias("label"),
+        new = write(step.join(jump, "low", "left").select("cls", F.least("low", "next").alias("label"),
                                                           (F.least("low", "next") < F.col("label")).alias("moved")), name)
         labels = new.select("cls", "label")
         if new.where("moved").isEmpty():
             return labels
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (x, y) of one bucket in different components, each once, without those in ``done``.
+def _open_classes(ws: Workspace, shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cls, label) of the members of buckets that hold several components."""
+    named = ws.stage(salted_join(shared.select("bucket", "cls"), labels, ["cls"], [F.col("bucket")], salts=4)
+                     .select("bucket", "cls", F.coalesce("label", "cls").alias("label")), "named")
+    several = ws.stage(named.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket"), "several")
+    return ws.stage(named.join(several, "bucket").select("cls", "label").distinct(), "open")
+
 
-    Within a bucket the members of its largest component are only paired with
-    the others, never with each other.
+def _rare_pairs(ws: Workspace, open_: DataFrame, sets: DataFrame, done: DataFrame, min_percent: int) -> DataFrame:
+    """Pairs (x, y) of different components that can reach ``min_percent``, without those in ``done``.
+
+    All sets order their shingles alike: those of one component only, then by
+    how many open sets have them. Two sets that reach the threshold share one
+    among the first n - ceil(p n / 100) + 1 of the larger and the first
+    n - ceil(2 p n / (100 + p)) + 1 of the smaller.
     """
-    named = stage(shared.select("bucket", "cls").join(labels, "cls", "left")
-                  .select("bucket", "cls", F.coalesce("label", "cls").alias("label")), "odd-open")
-    sizes = named.groupBy("bucket", "label").count()
-    main = (sizes.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("n"))
-            .where("n > 1").drop("n"))
-    open_ = stage(salted_join(named, main, ["bucket"], [F.col("cls")], salts=8, how="inner"), "odd-open")
-    x = open_.where("label != main").select("bucket", F.col("cls").alias("a"), F.col("label").alias("la"))
-    y = open_.select("bucket", F.col("cls").alias("b"), F.col("label").alias("lb"))
-    pairs = x.join(y, "bucket").where("la != lb").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
+    own = ws.stage(open_.join(sets, "cls"), "open-sets")
+
+    def exploded(batches):
+        for b in batches:
+            sets_of = [np.frombuffer(raw.as_buffer(), "<i8") for raw in b.column(2)]
+            n = np.array([len(h) for h in sets_of], np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(n[row]), pa.array(
+                np.concatenate([*sets_of, np.zeros(0, np.int64)]))], ["cls", "label", "n", "h"])
+
+    grams = own.select("cls", "label", "members").mapInArrow(exploded, "cls bigint, label bigint, n bigint, h bigint")
+    common = ws.stage(grams.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("times"))
+                      .where("a < b").select("h", "times"), "common")  # shingles of several components
+    met = grams.join(common, "h").groupBy("cls", "label", "n").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("list"))
+    n, p = F.col("n"), F.lit(min_percent)
+    probe = n - F.ceil(p * n / 100) + 1                 # counted over the whole set; shingles of one component come first
+    index = n - F.ceil(2 * p * n / (100 + p)) + 1
+    place = n - F.size("list") + F.col("pos") + 1
+    entries = ws.stage(met.select("cls", "label", "n", F.posexplode("list").alias("pos", "g"), "list").where(place <= probe)
+                       .select("cls", "label", "n", F.col("g.h").alias("h"), (place <= index).alias("first")), "entries")
+    x = entries.where("first").select("h", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    y = entries.select("h", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    met = x.join(y, (x.h == y.h) & (F.col("la") != F.col("lb")) & (F.col("na") <= F.col("nb")) & (100 * F.col("na") >= min_percent * F.col("nb")))
+    pairs = met.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
     return pairs.join(done, ["x", "y"], "left_anti")
 
 
 def _grouped(docs: DataFrame, min_percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The sets of all rows, and (doc_id, cls, label) of the rows that can link: rows of one label are one group."""
+    """(doc_id, n_shingles, cls) of all rows, and (doc_id, cls, label) of the rows that can link: rows of one label are one group."""
     spark = docs.sparkSession
+    ws = Workspace(spark, "odd")
     docs = doc_columns(docs, id_col, text_col)
-    table = stage(document_sets(docs), "odd-sets")
-    linked = table.where("n_shingles > 0 and doc_id is not null")
-    # only keys that (probably) occur in two classes are dealt out; the rest of the keys are buckets of one
-    def keys(batches):
-        for b in batches:
-            flat = b.column(1).flatten().to_numpy().view(np.uint64)
-            cls = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), BANDS)
-            _, one = np.unique(mix64(flat + mix64(cls)), return_index=True)
-            key, times = np.unique(flat[one], return_counts=True)
-            yield pack_two(bit_positions(key, BUCKET_FILTER_BITS, 1), bit_positions(key[times > 1], BUCKET_FILTER_BITS, 1), BUCKET_FILTER_BITS)
-
-    twice = spark.sparkContext.broadcast(collect_two(
-        linked.select("cls", "bands").mapInArrow(keys, "piece int, pos binary, again binary"), BUCKET_FILTER_BITS, ("more",))[0])
-
-    def entries_of(batches):
-        for b in batches:
-            flat = b.column(1).flatten().to_numpy()
-            hit = bits_hit(twice.value, flat.view(np.uint64), 1)
-            cls = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(cls[hit], pa.int64()), pa.array(flat[hit])], ["cls", "bucket"])
-
-    entries = stage(linked.select("cls", "bands").mapInArrow(entries_of, "cls bigint, bucket bigint").distinct(), "odd-entries")
-    heads = entries.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head < last").drop("last")
-    shared = stage(salted_join(entries, heads, ["bucket"], [F.col("cls")], salts=4, how="inner"), "odd-buckets")
-    wanted = stage(shared.select("cls").distinct(), "odd-wanted")
-    reps = stage(linked.select("cls", "sketch").join(wanted, "cls").dropDuplicates(["cls"]), "odd-reps")
-    star = stage(shared.where("cls > head").select(F.col("cls").alias("x"), F.col("head").alias("y")).distinct(), "odd-pairs")
+    rows = ws.stage(document_sets(docs), "sets")
+    # sets of one key and another second key (as good as never) are classes of their own
+    twins = ws.stage(rows.groupBy("cls").agg(F.min("other").alias("o"), F.max("other").alias("p")).where("o < p").select(F.col("cls").alias("twin")), "twins")
+    renamed = not twins.isEmpty()
+    if renamed:
+        rows = rows.join(twins, F.col("cls") == F.col("twin"), "left").withColumn(
+            "cls", F.when(F.col("twin").isNotNull(), F.xxhash64("cls", "other")).otherwise(F.col("cls"))).drop("twin")
+    table = stage(rows.select("doc_id", "n_shingles", "cls"), "odd-table")
+    linked = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = ws.stage(linked.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    entries = classes.select("cls", F.explode("bands").alias("bucket"))
+    heads = ws.stage(entries.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head < last").drop("last"), "heads")
+    shared = ws.stage(entries.join(heads, "bucket"), "buckets")
+    wanted = ws.stage(shared.select("cls").distinct(), "wanted")
+    reps = ws.stage(classes.select("cls", "sketch", "doc_id").join(wanted, "cls"), "reps")
+    star = ws.stage(shared.where("cls > head").select(F.col("cls").alias("x"), F.col("head").alias("y")).distinct(), "star")
 
     # the full sets of the classes in shared buckets, from their first documents
     def positions(batches):
@@ -222,25 +245,31 @@ def _grouped(docs: DataFrame, min_percent: int, id_col: str, text_col: str) -> t
             ids = b.column(0).to_numpy().astype(np.int64).view(np.uint64)
             yield pack_two(bit_positions(ids, ID_FILTER_BITS, ID_FILTER_HASHES), np.zeros(0, np.uint64), ID_FILTER_BITS)
 
-    firsts = linked.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls").select("doc_id")
     sent = spark.sparkContext.broadcast(collect_two(
-        firsts.mapInArrow(positions, "piece int, pos binary, again binary"), ID_FILTER_BITS, ("seen",))[0])
+        reps.select("doc_id").mapInArrow(positions, "piece int, pos binary, again binary"), ID_FILTER_BITS, ("seen",))[0])
 
     def full_sets(b: pa.RecordBatch) -> pa.RecordBatch:
         ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         h, first = shingle_sets(text_column(b.filter(pa.array(bits_hit(sent.value, ids, ID_FILTER_HASHES)))))
         first = np.append(first[:-1][np.diff(first) > 0], len(h))
-        return pa.RecordBatch.from_arrays([pa.array(set_keys(h, first)), pa.array(
-            [h[i:j].astype("<u8").tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["cls", "members"])
-
-    sets = stage(map_batches(docs.where("doc_id is not null"), full_sets, "cls bigint, members binary").dropDuplicates(["cls"]), "odd-full")
-    edges = stage(_confirmed(_near(star, reps), sets, min_percent), "odd-links")
-    labels = components(edges, "odd-labels")
-    more = stage(_confirmed(_near(_open_pairs(shared, labels, star), reps), sets, min_percent), "odd-links")
-    if not more.isEmpty():
-        labels = components(edges.union(more), "odd-labels")
+        return pa.RecordBatch.from_arrays([pa.array(set_keys(h, first)), pa.array(set_keys(h, first, 0xD6E8FEB86659FD93)), pa.array(
+            [h[i:j].astype("<u8").tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["cls", "other", "members"])
+
+    sets = map_batches(docs.where("doc_id is not null"), full_sets, "cls bigint, other bigint, members binary")
+    if renamed:
+        sets = sets.join(twins, F.col("cls") == F.col("twin"), "left").withColumn(
+            "cls", F.when(F.col("twin").isNotNull(), F.xxhash64("cls", "other")).otherwise(F.col("cls")))
+    sets = ws.stage(sets.select("cls", "members").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "full")
+    edges = ws.stage(_confirmed(ws, _near(ws, star, reps), sets, min_percent), "links")
+    labels = components(edges, "odd-labels", ws)
+    open_ = _open_classes(ws, shared, labels)
+    if not open_.isEmpty():
+        more = ws.stage(_confirmed(ws, _near(ws, _rare_pairs(ws, open_, sets, star, min_percent), reps), sets, min_percent), "more-links")
+        if not more.isEmpty():
+            labels = components(edges.union(more), "odd-labels", ws)
     named = stage(salted_join(linked.select("doc_id", "cls"), labels, ["cls"], [F.col("doc_id")], salts=8)
                   .select("doc_id", "cls", F.coalesce("label", "cls").alias("label")), "odd-named")
+    ws.close()
     return table, named
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, map_batches, stage, text_column
+from .common import Workspace, doc_columns, map_batches, stage, text_column
 from .odd_sketch import components
 from .textscan import lower_ascii, text_bytes, word_spans
 
@@ -183,13 +183,13 @@ def block_masks(radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def bucket_links(classes: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+def bucket_links(ws: Workspace, classes: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """Links (x, y), y < x, that connect the distinct fingerprints ``fp`` within ``radius`` bits, at most one for each member of a bucket."""
     keys = classes.select("fp", F.explode(F.array(*(
         F.struct(F.lit(t).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for t, m in enumerate(block_masks(radius))))).alias("b")
     ).select("fp", "b.mask", "b.bits")
-    hot = stage(keys.groupBy("mask", "bits").agg(F.count("*").alias("n")).where(F.col("n") > cell)
-                .select("mask", "bits", F.ceil(2 * F.col("n") / cell).cast("int").alias("parts")), "sliced-hot")
+    hot = ws.stage(keys.groupBy("mask", "bits").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+                .select("mask", "bits", F.ceil(2 * F.col("n") / cell).cast("int").alias("parts")), "hot")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != part)
     cells = F.transform(others, lambda q: F.least(q, part) * F.col("parts") + F.greatest(q, part))
@@ -227,12 +227,14 @@ def _with_end(batches):
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
+    ws = Workspace(docs.sparkSession, "sliced")
     table = stage(document_fingerprints(doc_columns(docs, id_col, text_col)), "sliced-docs")
-    classes = stage(table.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "sliced-classes")
-    labels = components(stage(bucket_links(classes, radius), "sliced-links"), "sliced-labels")
-    named = stage(classes.join(labels, classes.fp == labels.cls, "left")
-                  .select("fp", "low", "n", F.coalesce("label", "fp").alias("label")), "sliced-named")
-    lowest = stage(named.groupBy("label").agg(F.min("low").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1").drop("rows"), "sliced-lowest")
+    classes = ws.stage(table.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "classes")
+    labels = components(ws.stage(bucket_links(ws, classes, radius), "links"), "labels", ws)
+    named = ws.stage(classes.join(labels, classes.fp == labels.cls, "left")
+                  .select("fp", "low", "n", F.coalesce("label", "fp").alias("label")), "named")
+    lowest = ws.stage(named.groupBy("label").agg(F.min("low").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1").drop("rows"), "lowest")
     found = stage(named.join(lowest, "label").select("fp", "component_id"), "sliced-found")
+    ws.close()
     return table.join(found, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))

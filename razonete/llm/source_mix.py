@@ -95,19 +95,33 @@ def mix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row as often as it is taken, whole, with its own columns only.
 
-    Rows without words are in no source's budget; they stay once.
+    A source takes its rows in key order up to its budget, so its last row
+    decides for all others: rows before it are taken once more, rows behind it
+    are not, and no text is shuffled. Only rows that equal the last one in id
+    and text are dealt one by one, where the budget ends among them. Rows
+    without words are in no source's budget; they stay once.
     """
     plan = mix_plan(stage(keyed(docs, id_col, text_col, source_col), "mix-keys"))
-    # rows that share id, source and text share key and tie; their copies are dealt by rank
-    rank = Window.partitionBy("k", "t", "s").orderBy(F.lit(0))
-    chosen = plan.select(F.col("key").alias("k"), F.col("tie").alias("t"), F.when(~F.col("nosrc"), F.col("src")).alias("s"), "size", "copies")
-    chosen = chosen.groupBy("k", "t", "s").agg(F.max("size").alias("size"), F.collect_list("copies").alias("list"))
-    own = docs.withColumn("k", random_key(F.col(id_col))).withColumn("t", F.md5(F.coalesce(F.col(text_col), F.lit("")))) \
-        .withColumn("s", F.col(source_col).cast("string")).withColumn("r", F.row_number().over(rank))
-    right = chosen.select(F.col("k").alias("ck"), F.col("t").alias("ct"), F.col("s").alias("cs"), F.col("size").alias("csize"), "list")
-    both = own.join(right, (own.k == right.ck) & (own.t == right.ct) & own.s.eqNullSafe(right.cs))
-    times = F.when(F.col("csize") > 0, F.element_at("list", F.col("r"))).otherwise(F.lit(1)).cast("int")
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    place = F.struct("key", "doc_id", "tie")
+    rows = stage(plan.where("size > 0").select("nosrc", "src", "source_size", "target", place.alias("place"), "copies"), "mix-copies")
+    epochs = F.floor(F.col("target") / F.col("source_size")).cast("long")
+    cut = rows.groupBy("nosrc", "src").agg(F.max(epochs).alias("epochs"), F.max(F.when(F.col("copies") > epochs, F.col("place"))).alias("last"))
+    cut = stage(cut, "mix-cut")
+    last = (rows.join(cut, ["nosrc", "src"]).where(F.col("place").eqNullSafe(F.col("last"))).groupBy("nosrc", "src")
+            .agg(F.sum((F.col("copies") > F.col("epochs")).cast("long")).alias("_once"), F.count("*").alias("_equal")))
+    cuts = stage(cut.join(last, ["nosrc", "src"], "left").select(F.col("nosrc").alias("_nosrc"), F.col("src").alias("_src"), F.col("epochs").alias("_epochs"),
+                                                                 F.col("last").alias("_last"), "_once", "_equal"), "mix-cuts")
+    key = F.struct(random_key(F.col(id_col)).alias("key"), F.col(id_col).alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"))
+    own = docs.withColumns({"_at": key, "_s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_n": F.col(source_col).isNull(), "_size": word_count(F.col(text_col))})
+    own = own.join(cuts, (F.col("_s") == F.col("_src")) & (F.col("_n") == F.col("_nosrc")), "left")
+    dealt = (F.col("_size") > 0) & F.col("_last").isNotNull() & F.col("_at").eqNullSafe(F.col("_last")) & (F.col("_once") < F.col("_equal"))
+    before = F.col("_last").isNotNull() & (F.col("_at") <= F.col("_last"))
+    times = F.when(F.col("_size") > 0, F.col("_epochs") + before.cast("int")).otherwise(F.lit(1)).cast("int")
+    out = own.where(~F.coalesce(dealt, F.lit(False))).withColumn("_times", times)
+    if not cuts.where("_once < _equal").isEmpty():
+        rank = F.row_number().over(Window.partitionBy("_n", "_s").orderBy(F.lit(0)))
+        out = out.unionByName(own.where(dealt).withColumn("_times", (F.col("_epochs") + (rank <= F.col("_once")).cast("int")).cast("int")))
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
 
 
 def mix_sql(documents: str = "documents") -> str:

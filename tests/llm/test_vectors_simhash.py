@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from razonete.llm import dual_tree_codes, packed_negatives, sliced_simhash, vectors
+from razonete.llm.common import Workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -66,7 +67,7 @@ def test_simhash_links_of_every_distance(spark):
     low = closed(fps)
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp bigint")
     for cell in (8192, 40):
-        links = [(r.x % (1 << 64), r.y % (1 << 64)) for r in sliced_simhash.bucket_links(df, cell=cell).collect()]
+        links = [(r.x % (1 << 64), r.y % (1 << 64)) for r in sliced_simhash.bucket_links(Workspace(spark, "t"), df, cell=cell).collect()]
         at = {f: k for k, f in enumerate(fps)}
         got = list(range(len(fps)))
         for x, y in links:
