@@ -11,13 +11,19 @@
    population count of their XOR) estimates the similarity; pairs well below
    the threshold are dropped, the rest are confirmed on their full sets.
 4. Confirmed links are closed to components. Buckets that still hold several
-   components are open. Their members are not paired inside the bucket: each
-   is dealt by the rarest shingles of its set, so many that two sets above the
-   threshold must share one (prefix filtering; shingles that only one component
-   has come first, so they lead to no pair). Members of different components
-   that meet there and whose sizes allow it are compared like the first pairs.
-
-The second round is exact: it drops no pair above the threshold, and members
+   components are open: up to ``HEAD_ROUNDS`` times, while that finds links, the
+   members outside an open bucket's largest component are compared with another
+   member of it, drawn by hash.
+5. The members of buckets that are open then are not paired inside the bucket:
+   each is dealt by the rarest shingles of its set, so many that two sets above
+   the threshold must share one (prefix filtering; shingles that only one
+   component has come first, so they lead to no pair). Where members of
+   different components meet, the task that holds them compares odd sketches
+   of their whole sets: every shingle flips a bit, so the population count of
+   the XOR is at most the symmetric difference, and pairs that cannot reach the
+   threshold are dropped on the spot. The others are checked like the first pairs.
+
+The last step is exact: it drops no pair above the threshold, and members
 that share only common shingles do not meet.
 
 Sizes: nothing but a bit filter of a fixed size passes through the driver. Copies
@@ -46,6 +52,8 @@ BANDS, ROWS = 48, 4
 SKETCH_LONGS = 8                 # 512 bits
 LOWEST_ESTIMATE = 0.5            # over five standard errors of 192 samples below 0.75
 ID_FILTER_BITS, ID_FILTER_HASHES = 1 << 23, 2
+HEAD_ROUNDS = 4
+CELL, SET_SKETCH_LONGS = 4096, 32  # entries of one task's comparison; 2,048 bits
 PAIRS_PER_SALT = 256             # a member of more pairs than this is dealt over several tasks
 _A = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _X = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -174,12 +182,21 @@ def components(edges: DataFrame, name: str = "labels", ws: Workspace | None = No
             return labels
 
 
-def _open_classes(ws: Workspace, shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cls, label) of the members of buckets that hold several components."""
+def _open_members(ws: Workspace, shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, cls, label) of the members of buckets that hold several components."""
     named = ws.stage(salted_join(shared.select("bucket", "cls"), labels, ["cls"], [F.col("bucket")], salts=4)
                      .select("bucket", "cls", F.coalesce("label", "cls").alias("label")), "named")
     several = ws.stage(named.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket"), "several")
-    return ws.stage(named.join(several, "bucket").select("cls", "label").distinct(), "open")
+    return ws.stage(named.join(several, "bucket"), "open")
+
+
+def _head_pairs(ws: Workspace, open_: DataFrame, done: DataFrame, seed: int) -> DataFrame:
+    """Pairs of the members outside their bucket's largest component and a member of it, without those in ``done``."""
+    drawn = open_.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cls", F.lit(seed)), "cls")).alias("head"))
+    main = ws.stage(drawn.groupBy("bucket").agg(F.max(F.struct("n", "label", "head")).alias("m"))
+                    .select("bucket", F.col("m.label").alias("main"), F.col("m.head.cls").alias("head")), "main")
+    pairs = open_.join(main, "bucket").where("label != main").select(F.greatest("cls", "head").alias("x"), F.least("cls", "head").alias("y")).distinct()
+    return pairs.join(done, ["x", "y"], "left_anti")
 
 
 def _rare_pairs(ws: Workspace, open_: DataFrame, sets: DataFrame, done: DataFrame, min_percent: int) -> DataFrame:
@@ -210,13 +227,55 @@ def _rare_pairs(ws: Workspace, open_: DataFrame, sets: DataFrame, done: DataFram
     place = n - F.size("list") + F.col("pos") + 1
     entries = ws.stage(met.select("cls", "label", "n", F.posexplode("list").alias("pos", "g"), "list").where(place <= probe)
                        .select("cls", "label", "n", F.col("g.h").alias("h"), (place <= index).alias("first")), "entries")
-    x = entries.where("first").select("h", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    y = entries.select("h", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    met = x.join(y, (x.h == y.h) & (F.col("la") != F.col("lb")) & (F.col("na") <= F.col("nb")) & (100 * F.col("na") >= min_percent * F.col("nb")))
-    pairs = met.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
+    # shingles at which members of several components meet, large ones cut into parts that meet pair by pair
+    keys = ws.stage(entries.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("first").alias("first"), F.count("*").alias("times"))
+                    .where("a < b and first").select("h", F.when(F.col("times") > CELL, F.ceil(2 * F.col("times") / CELL)).otherwise(1).cast("int").alias("parts")), "keys")
+    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != part)
+    cells = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.transform(others, lambda q: F.least(q, part) * F.col("parts") + F.greatest(q, part)))
+    marks = ws.stage(own.select("cls", "members").mapInArrow(_set_sketches, "cls bigint, sketch array<bigint>"), "marks")
+    met = (entries.join(keys, "h").join(marks, "cls").select("h", F.explode(cells).alias("cell"), F.struct("cls", "label", "n", "first", "sketch").alias("e"))
+           .groupBy("h", "cell").agg(F.collect_list("e").alias("list")).select("list"))
+    pairs = met.mapInArrow(_meeting(min_percent), "x bigint, y bigint").distinct()
     return pairs.join(done, ["x", "y"], "left_anti")
 
 
+def _set_sketches(batches):
+    """Odd sketches of whole sets: (cls, members) to (cls, sketch)."""
+    bits = 64 * SET_SKETCH_LONGS
+    for b in batches:
+        sets_of = [np.frombuffer(raw.as_buffer(), "<u8") for raw in b.column(1)]
+        row = np.repeat(np.arange(len(sets_of)), [len(h) for h in sets_of])
+        bit = (mix64(np.concatenate([*sets_of, np.zeros(0, np.uint64)]) ^ _X[0]) % np.uint64(bits)).astype(np.int64)
+        odd = np.bincount(row * bits + bit, minlength=len(sets_of) * bits) & 1
+        sketch = np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(sketch), pa.list_(pa.int64()))], ["cls", "sketch"])
+
+
+def _meeting(min_percent: int, at_once: int = 1 << 16):
+    """Pairs (x, y) of each list of entries whose labels differ and whose sizes and sketches allow the threshold."""
+
+    def run(batches):
+        for b in batches:
+            for item in b.column(0):
+                e = item.values
+                col = {e.type.field(k).name: e.field(k) for k in range(e.type.num_fields)}
+                cls, label, n = (col[k].to_numpy(zero_copy_only=False) for k in ("cls", "label", "n"))
+                first = np.flatnonzero(col["first"].to_numpy(zero_copy_only=False))
+                sketch = col["sketch"].flatten().to_numpy().view(np.uint64).reshape(len(cls), -1)
+                for i in range(0, len(first), max(1, at_once // len(cls))):
+                    a = first[i:i + max(1, at_once // len(cls))]
+                    r, c = np.nonzero((label[a][:, None] != label[None, :]) & (n[a][:, None] <= n[None, :]) & (100 * n[a][:, None] >= min_percent * n[None, :]))
+                    r = a[r]
+                    apart = np.bitwise_count(sketch[r] ^ sketch[c]).sum(axis=1, dtype=np.int64)  # at most the symmetric difference
+                    both = n[r] + n[c]
+                    able = 100 * (both - apart) >= min_percent * (both + apart)
+                    x, y = cls[r[able]], cls[c[able]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["x", "y"])
+
+    return run
+
+
 def _grouped(docs: DataFrame, min_percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, cls) of all rows, and (doc_id, cls, label) of the rows that can link: rows of one label are one group."""
     spark = docs.sparkSession
@@ -261,12 +320,23 @@ def _grouped(docs: DataFrame, min_percent: int, id_col: str, text_col: str) -> t
             "cls", F.when(F.col("twin").isNotNull(), F.xxhash64("cls", "other")).otherwise(F.col("cls")))
     sets = ws.stage(sets.select("cls", "members").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "full")
     edges = ws.stage(_confirmed(ws, _near(ws, star, reps), sets, min_percent), "links")
+    done = star
     labels = components(edges, "odd-labels", ws)
-    open_ = _open_classes(ws, shared, labels)
+    open_ = _open_members(ws, shared, labels)
+    for seed in range(1, HEAD_ROUNDS + 1):
+        tested = ws.stage(_head_pairs(ws, open_, done, seed), "heads")
+        found = ws.stage(_confirmed(ws, _near(ws, tested, reps), sets, min_percent), "links")
+        done = done.union(tested)
+        if found.isEmpty():
+            break
+        edges = edges.union(found)
+        labels = components(edges, "odd-labels", ws)
+        open_ = _open_members(ws, shared, labels)
     if not open_.isEmpty():
-        more = ws.stage(_confirmed(ws, _near(ws, _rare_pairs(ws, open_, sets, star, min_percent), reps), sets, min_percent), "more-links")
-        if not more.isEmpty():
-            labels = components(edges.union(more), "odd-labels", ws)
+        pairs = _rare_pairs(ws, open_.select("cls", "label").distinct(), sets, done, min_percent)
+        found = ws.stage(_confirmed(ws, _near(ws, pairs, reps), sets, min_percent), "links")
+        if not found.isEmpty():
+            labels = components(edges.union(found), "odd-labels", ws)
     named = stage(salted_join(linked.select("doc_id", "cls"), labels, ["cls"], [F.col("doc_id")], salts=8)
                   .select("doc_id", "cls", F.coalesce("label", "cls").alias("label")), "odd-named")
     ws.close()
