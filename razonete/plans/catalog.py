@@ -413,7 +413,8 @@ def q_transform_rows_documented(spark, sf):
 _ORDER_ALL = ", ".join(f"{c} ASC NULLS FIRST" for c in RAW_COLUMNS)
 
 
-def _error_lines_sql() -> str:
+def error_lines_sql(numbered: str) -> str:
+    """G3 over numbered raw lines (ARQUIVO, LINHA and the sheet's columns)."""
     rules = O.active_rules(R.AS_CODED)
     flags = ",\n  ".join(f"CAST({O.rule_sql(r.rule_id)} AS INTEGER) AS b{i}" for i, r in enumerate(rules))
     parts = []
@@ -425,12 +426,14 @@ def _error_lines_sql() -> str:
             f"'Linha ' || CAST(LINHA AS VARCHAR) || ': ' || {O.q(r.message)} AS ERRO FROM f WHERE b{i} = 1"
         )
     return (
-        f"WITH n AS (SELECT *, CAST(row_number() OVER (PARTITION BY ARQUIVO ORDER BY {_ORDER_ALL}) + 1 AS BIGINT)"
-        f" AS LINHA FROM {RAW}),\nf AS (SELECT ARQUIVO, LINHA,\n  {flags} FROM n)\n" + "\nUNION ALL\n".join(parts)
+        f"WITH n AS ({numbered}),\nf AS (SELECT ARQUIVO, LINHA,\n  {flags} FROM n)\n" + "\nUNION ALL\n".join(parts)
     )
 
 
-@register("error_lines", _error_lines_sql())
+_NUMBERED = f"SELECT *, CAST(row_number() OVER (PARTITION BY ARQUIVO ORDER BY {_ORDER_ALL}) + 1 AS BIGINT) AS LINHA FROM {RAW}"
+
+
+@register("error_lines", error_lines_sql(_NUMBERED))
 def q_error_lines(spark, sf):
     raw = fx.raw(spark, sf)
     numbered = V.line_numbers_by_content(raw, FILE_COL, RAW_COLUMNS)

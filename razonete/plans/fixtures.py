@@ -91,6 +91,32 @@ WHERE CAST(N_CENTRO_CUSTO AS BIGINT) % 50 = 1
 """
 
 
+# Raw lines as CSV text, in the order of their lot's file: some descriptions hold a quoted line break, a doubled
+# quote and separators, some lines come behind blank ones. ORDEM 0 is the header, with an unknown column.
+CSV_TEXT_SQL = """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY ARQUIVO ORDER BY {order}) AS ORDEM FROM {raw})
+SELECT ARQUIVO, ORDEM, CASE WHEN ORDEM % 17 = 5 THEN 2 WHEN ORDEM % 23 = 0 THEN 1 ELSE 0 END AS EM_BRANCO,
+  CASE WHEN ORDEM % 7 = 3 THEN 2 WHEN ORDEM % 11 = 4 THEN 1 ELSE 0 END AS QUEBRAS,
+  {cells}
+FROM r
+"""
+
+
+def _csv_cell(column: str) -> str:
+    if column != "DESCRICAO":
+        return f"coalesce({column}, '')"
+    broken = "'\"' || coalesce(DESCRICAO, '') || chr(10) || ', \"\"x\"\",'"
+    return (f"CASE WHEN ORDEM % 7 = 3 THEN {broken} || chr(10) || 'fim\"' WHEN ORDEM % 11 = 4 THEN {broken} || '\"' "
+            "ELSE coalesce(DESCRICAO, '') END")
+
+
+def csv_text_sql(raw: str, columns: list[str]) -> str:
+    """(ARQUIVO, ORDEM, EM_BRANCO, QUEBRAS, TEXTO) of every raw line; TEXTO holds its blank lines before it."""
+    row = " || ',' || ".join(_csv_cell(c) for c in [*columns, "ORDEM"])
+    cells = (f"CASE WHEN ORDEM % 17 = 5 THEN chr(10) || chr(10) WHEN ORDEM % 23 = 0 THEN chr(10) ELSE '' END || {row} AS TEXTO")
+    return CSV_TEXT_SQL.format(raw=raw, order=", ".join(f"{c} NULLS FIRST" for c in columns), cells=cells)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

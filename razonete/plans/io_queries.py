@@ -15,7 +15,7 @@ from ..sources import files
 from ..sources.store import LedgerStore, append_table, evolve
 from . import fixtures as fx
 from . import oracle as O
-from .catalog import AS_OF, AS_OF_SQL, DELTA, LED, RAW, RAWO, register
+from .catalog import AS_OF, AS_OF_SQL, DELTA, LED, RAW, RAWO, error_lines_sql, register
 
 _LED_NO_NEW = ", ".join(c if c not in ("RATEIO", "ORIGEM") else f"CAST(NULL AS VARCHAR) AS {c}" for c in LEDGER_COLUMNS)
 
@@ -71,14 +71,49 @@ def q_scan_csv(spark, sf):
     return files.drop_helpers(files.read_csv_batch(spark, path)).select(*RAW_COLUMNS, FILE_COL)
 
 
-@register("error_lines_csv")
+# the lots as CSV files with blank lines and quoted line breaks; every line's physical place in its file
+_CSV_TEXT = fx.csv_text_sql(RAW, RAW_COLUMNS).replace("CAST(ORDEM AS STRING)", "CAST(ORDEM AS VARCHAR)")
+_CSV_LINES = f"""
+SELECT *, CAST(1 + EM_BRANCO + ORDEM + coalesce(sum(EM_BRANCO + QUEBRAS)
+  OVER (PARTITION BY ARQUIVO ORDER BY ORDEM ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS LINHA
+FROM ({_CSV_TEXT})"""
+_CSV_DESCRICAO = """CASE WHEN ORDEM % 7 = 3 THEN coalesce(DESCRICAO, '') || chr(10) || ', "x",' || chr(10) || 'fim'
+  WHEN ORDEM % 11 = 4 THEN coalesce(DESCRICAO, '') || chr(10) || ', "x",' ELSE nullif(DESCRICAO, '') END"""
+_CSV_RAW = f"""(SELECT ARQUIVO, n.LINHA, CAST(ORDEM AS VARCHAR) AS ORDEM, {', '.join(f"nullif({c}, '') AS {c}" if c != 'DESCRICAO' else f'{_CSV_DESCRICAO} AS DESCRICAO' for c in RAW_COLUMNS)}
+  FROM (SELECT *, row_number() OVER (PARTITION BY ARQUIVO ORDER BY {', '.join(f'{c} NULLS FIRST' for c in RAW_COLUMNS)}) AS ORDEM FROM {RAW}) r
+  JOIN (SELECT ARQUIVO, ORDEM, LINHA FROM ({_CSV_LINES})) n USING (ARQUIVO, ORDEM))"""
+
+
+def _land_csv(spark, sf, path):
+    """The lots as CSV files under ARQUIVO=<lot>/, a header and then every line in its order."""
+    text = spark.sql(fx.csv_text_sql("{raw}", RAW_COLUMNS), raw=fx.raw(spark, sf)).select(FILE_COL, "ORDEM", "TEXTO")
+    head = ",".join([*RAW_COLUMNS, "Número da linha"])
+    heads = text.select(FILE_COL).distinct().select(FILE_COL, F.lit(0).alias("ORDEM"), F.lit(head).alias("TEXTO"))
+    (text.unionByName(heads).repartition(FILE_COL).sortWithinPartitions(FILE_COL, "ORDEM")
+     .select(FILE_COL, "TEXTO").write.partitionBy(FILE_COL).text(path))
+
+
+def _read_landed(spark, path, **how):
+    rows = files.read_csv_files(spark, path, glob="*.txt", **how)
+    return rows.withColumn(FILE_COL, F.regexp_extract("_file", f"{FILE_COL}=([^/]+)/", 1))
+
+
+@register("error_lines_csv", error_lines_sql(f"SELECT * FROM {_CSV_RAW}"))
 def q_error_lines_csv(spark, sf):
-    """S5 + G3 on real files: physical line numbers (checked by brute force in tests)."""
+    """S5 + G3 on real files: blank lines and quoted line breaks count, files are read in many splits."""
+    path = scratch_path(spark, "csv")
+    _land_csv(spark, sf, path)
+    return V.error_lines(V.apply_rules(_read_landed(spark, path)))
+
+
+@register("scan_csv_extras", f"""
+SELECT ARQUIVO, LINHA, {', '.join(RAW_COLUMNS)}, 'NUMERO_DA_LINHA=' || ORDEM AS EXTRAS FROM {_CSV_RAW}""")
+def q_scan_csv_extras(spark, sf):
+    """S1 with a column that the layout does not know: it comes back in the map of extras, with its line."""
     path = scratch_path(spark, "csv")
-    files.write_csv(fx.raw(spark, sf).select(*RAW_COLUMNS), path)
-    batch = files.read_csv_batch(spark, path)
-    numbered = V.line_numbers_by_position(V.apply_rules(batch))
-    return V.error_lines(numbered)
+    _land_csv(spark, sf, path)
+    extras = F.concat_ws(";", F.transform(F.map_entries(files.EXTRAS_COL), lambda e: F.concat(e.key, F.lit("="), e.value)))
+    return _read_landed(spark, path, extras=True).select(FILE_COL, "LINHA", *RAW_COLUMNS, extras.alias("EXTRAS"))
 
 
 LANDED_LOT = "LOTE"   # the column of a landed file that names a line's lot
