@@ -45,6 +45,11 @@ FROM {lineitem}
 LOT_BY_SUPPLIER = "'lote_' || CAST(l_suppkey % 10 AS STRING) || '.csv'"
 LOT_BY_ORDER = "'lote_' || CAST(l_orderkey AS STRING) || '.csv'"
 
+# sixty larger lots: files of good lines, files of lines with faults, files whose cost centres do not pass
+LOT_BY_KIND = """CASE WHEN l_suppkey % 41 = 0 OR l_suppkey % 43 = 0 OR l_suppkey % 37 = 0 OR l_partkey % 101 = 0 OR l_partkey % 113 = 0
+       OR l_partkey % 149 = 0 OR l_orderkey % 127 = 0 OR l_orderkey % 137 = 0 THEN 'falhas_'
+       WHEN l_orderkey % 47 = 0 OR l_orderkey % 109 = 0 THEN 'centro_' ELSE 'lote_' END || CAST(l_orderkey % 20 AS STRING) || '.csv'"""
+
 _LEDGER_SQL = """
 SELECT CAST(10000000 + (l_partkey * 7919) % 80000000 AS STRING) AS N_CONTA,
   CAST(100000000 + l_orderkey AS STRING) AS N_CENTRO_CUSTO,

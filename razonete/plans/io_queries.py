@@ -149,6 +149,23 @@ def q_stream_ingest(spark, sf):
     return store.read()
 
 
+@register("stream_lots", _STREAM_SQL)
+def q_stream_lots(spark, sf):
+    """Every lot's lines come in files of two triggers or more, its manifest in a later one; lots are gated whole."""
+    from ..streaming.ingest import MANIFEST_MARK, run_lot_ingest
+
+    root = scratch_path(spark, "stream")
+    raw = fx.raw_by_order(spark, sf).withColumnRenamed(FILE_COL, LANDED_LOT)
+    half = F.pmod(F.xxhash64(*RAW_COLUMNS), F.lit(2))
+    files.write_csv(raw.where(half == 0).repartition(LANDING_FILES // 2), f"{root}/landing/a")
+    files.write_csv(raw.where(half == 1).repartition(LANDING_FILES // 2), f"{root}/landing/b")
+    counts = raw.groupBy(LANDED_LOT).agg(F.count("*").alias("LINHAS"))
+    files.write_csv(counts.repartition(2), f"{root}/landing/c{MANIFEST_MARK}")
+    store, _, _ = run_lot_ingest(spark, f"{root}/landing/*", f"{root}/ledger", f"{root}/audit", f"{root}/state", f"{root}/checkpoint",
+                                 as_of=AS_OF, lot_header=LANDED_LOT, max_files_per_trigger=LANDING_FILES // 2)
+    return store.read()
+
+
 @register("import_commit", _STREAM_SQL)
 def q_import_commit(spark, sf):
     """L1 end to end: rules, whole-lot gate, cost-centre gate, merge into the store, audit."""
@@ -162,6 +179,66 @@ def q_import_commit(spark, sf):
     return store.read()
 
 
+def _imported(spark, sf):
+    """An import of sixty lots with its outputs, committed; returns the folder of the outputs."""
+    from ..operators.audit import AuditContext
+    from ..plans.importer import import_batch
+    from ..sources.store import AuditLog
+
+    root = scratch_path(spark, "import")
+    import_batch(fx.raw(spark, sf, fx.LOT_BY_KIND), LedgerStore(spark, f"{root}/ledger"), AuditLog(spark, f"{root}/audit"),
+                 AuditContext(as_of=AS_OF), outputs=f"{root}/saidas")
+    return f"{root}/saidas"
+
+
+# the imported lots with their verdicts: faults first, then the cost-centre gate over lots without faults
+_LOTS_SQL = f"""
+WITH v AS ({O.validated_sql(f"({fx.sql_raw(fx.LOT_BY_KIND)})")}),
+lots AS (SELECT ARQUIVO, count(*) AS TOTAL_LINHAS, count_if(N_ERROS > 0) AS LINHAS_COM_ERRO, CAST(sum(N_ERROS) AS BIGINT) AS TOTAL_ERROS,
+  CASE WHEN count_if(N_ERROS > 0) > 0 THEN 'ERROS' WHEN count_if(length(coalesce(N_CENTRO_CUSTO, '')) <> 9) > 0 THEN 'CENTRO_CUSTO' END AS MOTIVO
+  FROM v GROUP BY ARQUIVO)
+"""
+_SHOWN = {"DATA": "CAST(DATA AS VARCHAR)", "VALOR": "CAST(coalesce(VALOR, 0.0) AS DOUBLE)"}
+_CELLS = ", ".join(f"{_SHOWN.get(c, f'nullif({c}, {chr(39) * 2})')} AS {c}" for c in LEDGER_COLUMNS if c != "DATA_ATUALIZACAO")
+
+
+@register("lot_outputs", f"""{_LOTS_SQL}
+SELECT k.k AS TIPO, 'processado_' || replace(v.ARQUIVO, '.csv', '') AS SAIDA, {_CELLS}, '' AS ERROS
+FROM v JOIN lots USING (ARQUIVO), (VALUES ('csv'), ('xml')) k(k) WHERE MOTIVO IS NULL
+UNION ALL
+SELECT 'rejeitado', v.ARQUIVO, {_CELLS.replace('coalesce(VALOR, 0.0)', 'VALOR')}, ERROS_TXT FROM v JOIN lots USING (ARQUIVO) WHERE MOTIVO IS NOT NULL
+""")
+def q_lot_outputs(spark, sf):
+    """S6 + S7 + G5: the committed import's CSV, XML and rejected rows of every lot, read back."""
+    from ..operators.outputs import read_outputs
+
+    csv, xml, _, rejected = read_outputs(spark, _imported(spark, sf))
+    cells = [F.when(F.col(c) != "", F.col(c)).alias(c) if c != "VALOR" else F.col(c).cast("double").alias(c)
+             for c in LEDGER_COLUMNS if c != "DATA_ATUALIZACAO"]
+    out = [df.select(F.lit(kind).alias("TIPO"), "SAIDA", *cells, errors.alias("ERROS")) for kind, df, errors in (
+        ("csv", csv, F.lit("")), ("xml", xml, F.lit("")), ("rejeitado", rejected, F.coalesce("ERROS", F.lit(""))))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@register("lot_outcomes", f"""{_LOTS_SQL}
+SELECT ARQUIVO, TOTAL_LINHAS, LINHAS_COM_ERRO, TOTAL_ERROS, CASE WHEN MOTIVO IS NULL THEN TOTAL_LINHAS ELSE 0 END AS LINHAS_NO_RAZAO,
+  CASE WHEN MOTIVO IS NULL THEN 'ACEITO' ELSE 'REJEITADO' END AS RESULTADO, MOTIVO
+FROM lots
+""")
+def q_lot_outcomes(spark, sf):
+    """The outcome row of every lot, as the committed import wrote it (times left out)."""
+    return spark.read.parquet(f"{_imported(spark, sf)}/resultados").drop("INICIO", "FIM", "DURACAO_S")
+
+
+@register("gate_profile_lots", f"""{_LOTS_SQL}
+SELECT ARQUIVO, c.c AS COLUNA, TOTAL_LINHAS AS TOTAL, CAST(0 AS BIGINT) AS NULOS, true AS OK
+FROM lots, (VALUES {', '.join(f"('{c}')" for c in LEDGER_COLUMNS)}) c(c) WHERE LINHAS_COM_ERRO = 0
+""")
+def q_gate_profile_lots(spark, sf):
+    """G7 + G8 per lot: rows and nulls of every ledger column of the lots without faults, as the committed import wrote them."""
+    return spark.read.parquet(f"{_imported(spark, sf)}/perfil")
+
+
 _MESSY = {"FILIAL": "filial", "DATA": "Data", "N_CONTA": "N CONTA", "N_CENTRO_CUSTO": " n centro  custo",
           "OPERACAO": "Operação", "VALOR": "valor", "DESCRICAO": "Descrição", "TIPO": "tipo", "VERSAO": "VERSÃO",
           "RATEIO": "Rateio", "ORIGEM": "orígem"}
