@@ -5,9 +5,9 @@ Every passage is turned into byte-class densities and word-repetition rates
 and encoded by a learned layer; gated attention, learned from document
 labels alone, weighs the passages, and a logistic unit scores the weighted
 passage representation. Features and scores of all documents are computed in
-the tasks; the model is fitted on a bounded sample of labelled documents and,
-of a document of more than ``FIT_PASSAGES`` passages, on that many drawn by hash
-over the whole text. Scores always use all passages.
+the tasks; the model is fitted on all passages of a bounded sample of labelled
+documents, drawn by hash and taken as long as their passages fit the bound.
+Scores use all passages of all documents.
 
 Defined cases: a null or empty text is a bag of one empty passage and gets a
 score like any other; rows that share an id are scored one by one; labels that
@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, map_batches, mix64, row_slices, text_column
+from .common import doc_columns, map_batches, mix64, row_slices, stage, text_column
 from .text_rules import labelled_ids
 from .textscan import Words, words
 
 PASSAGE_WORDS = 64
 MAX_DOCS = 4_000           # labelled documents to fit on, at most (half of either label)
-FIT_PASSAGES = 32          # passages of a document to fit on, at most: 256,000 feature rows on the driver at 2 * MAX_DOCS rows
+MAX_PASSAGES = 256_000     # of all documents to fit on, together: that many feature rows come to the driver
 THRESHOLD = 0.7
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY, SEED = 24, 12, 150, 0.02, 1e-4, 7
 #: byte classes: ASCII marks one by one, then groups
@@ -136,30 +136,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def drawn(x: np.ndarray, first: np.ndarray, ids: np.ndarray, most: int = FIT_PASSAGES) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` passages of each document, those of the smallest hashes of id and place, in their order."""
-    n = np.diff(first)
-    owner = np.repeat(np.arange(len(n)), n)
-    place = (np.arange(len(x)) - first[owner]).astype(np.uint64)
-    h = mix64(mix64(ids.view(np.uint64))[owner] + place * np.uint64(0x9E3779B97F4A7C15))
-    order = np.lexsort((h, owner))
-    take = np.sort(order[np.arange(len(x)) - first[owner] < most])
-    return x[take], np.concatenate([[0], np.cumsum(np.minimum(n, most))])
-
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_passages: int = MAX_PASSAGES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most ``max_docs`` labelled documents of at most ``max_passages`` passages together, each whole.
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``max_docs`` labelled documents; the features of up to ``FIT_PASSAGES`` passages of each come to the driver, no text does."""
+    Documents are taken in the order of a hash; one that does not fit any more is passed over.
+    """
     ids = labelled_ids(labels, max_docs // 2, id_col, where=~held_out(F.col("doc_id")))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        x, first = drawn(*passages(words(text_column(b))), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        x, first = passages(words(text_column(b)))
         raw = x.astype("<f4")
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(
-            [raw[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["doc_id", "label", "x"])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(first), pa.int64()), pa.array(
+            [raw[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["doc_id", "label", "n", "x"])
 
     own = doc_columns(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")  # ids: at most max_docs rows
-    rows = map_batches(own.select("doc_id", "text", "label"), run, "doc_id bigint, label int, x binary")
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(2 * max_docs).collect()  # a bound also where ids repeat
+    rows = stage(map_batches(own.select("doc_id", "text", "label"), run, "doc_id bigint, label int, n bigint, x binary"), "mil-passages")
+    rows = rows.withColumns({"h": F.xxhash64("doc_id"), "hx": F.xxhash64("x")})
+    sizes = rows.select("h", "doc_id", "hx", "n").orderBy("h", "doc_id", "hx").limit(2 * max_docs).collect()  # a bound also where ids repeat
+    taken, room = [], max_passages
+    for r in sizes:
+        if r.n <= room:
+            taken.append((r.doc_id, r.hx))
+            room -= r.n
+    taken = docs.sparkSession.createDataFrame(sorted(set(taken)), "doc_id bigint, hx bigint")
+    got = rows.join(F.broadcast(taken), ["doc_id", "hx"], "left_semi").orderBy("h", "doc_id", "hx").limit(len(sizes)).select("doc_id", "label", "x").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))  # the same order in every run
     y = np.array([r.label for r in got], float)
     if len(set(y)) < 2:

@@ -34,6 +34,7 @@ from .common import row_slices, salted_join, stage, text_column
 
 FILE_BYTES = 64 << 20        # an archive file is closed beyond this size
 RANGE_BYTES = 4 << 20        # one read covers at most this much, or one record
+TASK_BYTES = 32 << 20        # archive bytes that a task reads at most, about
 GAP_BYTES = 64 << 10         # records this near are read together
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id bigint, file string, offset bigint, length bigint, url string, digest string, record_type string, refers_to bigint"
@@ -133,8 +134,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(selected: DataFrame, path: str, payloads: bool = True) -> DataFrame:
     """The records of selected index rows; neighbouring byte ranges are read together."""
-    dealt = (selected.select("file", "offset", "length").withColumn("range", F.floor(F.col("offset") / (8 * RANGE_BYTES)))
-             .repartition("file", "range").sortWithinPartitions("file", "offset"))
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # by the bytes to read, as the index rows themselves are small; ranges of one task are read one after the other
+    few = min(int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    tasks = max(1, few, -(-total // TASK_BYTES))
+    dealt = (selected.select("file", "offset", "length").withColumn("range", F.floor(F.col("offset") / RANGE_BYTES))
+             .repartition(int(tasks), "file", "range").sortWithinPartitions("file", "offset"))
     schema = _schema(RECORDS)
 
     def run(batches):

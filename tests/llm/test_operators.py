@@ -278,17 +278,34 @@ def test_token_orc_marker(spark):
 
 
 def test_quality_fitting_sample_is_bounded(spark, monkeypatch):
-    most = mil_quality.FIT_PASSAGES
-    x, first = np.arange((most + 500) * 2, dtype=float).reshape(-1, 2), np.array([0, 3, 3 + most + 400, most + 500])
-    a, at = mil_quality.drawn(x, first, np.array([7, 8, 9]))
-    assert np.diff(at).tolist() == [3, most, most] and (a[:3] == x[:3]).all()
-    own = a[3:3 + most, 0]
-    assert (np.diff(own) > 0).all() and own[-1] > x[3 + most, 0]      # in order, from the whole text
+    """Documents are learned from whole; those that do not fit the passages' bound are passed over."""
     seen = []
-    monkeypatch.setattr(mil_quality, "fit_model", lambda x, first, y: seen.append(np.diff(first)))
-    docs = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(64_000))), (1, "one")], "doc_id bigint, text string")
-    mil_quality.fit(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int"))
-    assert sorted(seen[0].tolist()) == [1, most]
+    monkeypatch.setattr(mil_quality, "fit_model", lambda x, first, y: seen.append(sorted(np.diff(first).tolist())))
+    docs = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(64_000))), (1, "one"), (4, "two")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (4, 1)], "doc_id bigint, quality int")
+    mil_quality.fit(docs, labels)
+    mil_quality.fit(docs, labels, max_passages=500)
+    assert seen == [[1, 1, 1000], [1, 1]]
+
+
+def test_words_do_not_collide(spark):
+    """Words that a polynomial hash modulo 2**64 cannot tell apart."""
+    from razonete.llm.textscan import span_hash
+
+    t = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    a, b = f"xxx{t}yyy", f"xxx{t.translate(str.maketrans('ab', 'ba'))}yyy"
+    docs = spark.createDataFrame([(0, a), (1, b), (2, f"{a}\n{b}")], "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe_matrix.round_trip(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert [got[i].decoded_sha256 for i in range(3)] == [hashlib.sha256(x.encode()).hexdigest() for x in (a, b, f"{a}\n{b}")]
+    assert len({r.fingerprint for r in multiset_fingerprint.edited_fingerprints(docs).collect()}) == 3
+    assert {r.component_id for r in odd_sketch.near_duplicates(docs).collect()} == {0, 1, 2}
+    assert {r.n_dup_lines for r in text_rules.apply_rules(docs, None).collect()} == {0}
+    rng, data = np.random.default_rng(1), np.frombuffer((t * 20).encode(), np.uint8)
+    start = rng.integers(0, 20_000, 30_000)
+    end = start + rng.integers(0, 300, 30_000)
+    spans = [data[x:y].tobytes() for x, y in zip(start, end)]
+    h = span_hash(data, start, end)
+    assert len(set(h.tolist())) == len(set(spans)) == len(set(zip(h.tolist(), spans)))
 
 
 def test_near_dedup_rows_of_one_id(spark):
