@@ -33,7 +33,7 @@ AS_OF = _dt.datetime(2025, 1, 15, 9, 30, 0)
 AS_OF_SQL = "TIMESTAMP '2025-01-15 09:30:00'"
 RUN_START = _dt.datetime(2025, 1, 15, 9, 0, 0)
 RUN_END = _dt.datetime(2025, 1, 15, 9, 5, 17)
-CTX = A.AuditContext(as_of=AS_OF, usuario="controladoria", sistema_operacional="Linux", versao_sistema="6.1")
+CTX = A.AuditContext(as_of=AS_OF, usuario="orcamento", sistema_operacional="Linux", versao_sistema="6.1")
 
 F_LIST = Q.Filters(data_inicio="1995-03-01", data_fim="1996-09-30", versao="1996 - V2", origem="MA F")
 F_EQ = Q.Filters(filial="0107", operacao="OP1", rateio="NAO")
@@ -575,17 +575,16 @@ def q_merge_upsert(spark, sf):
 
 
 @register("merge_dedup", f"""
-WITH s AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY N_CONTA, N_CENTRO_CUSTO, DATA, VERSAO
-      ORDER BY DATA_ATUALIZACAO DESC NULLS LAST, DESCRICAO DESC NULLS LAST, VALOR DESC NULLS LAST,
-               OPERACAO DESC NULLS LAST, FILIAL DESC NULLS LAST, RATEIO DESC NULLS LAST, ORIGEM DESC NULLS LAST) AS rn
-    FROM {DDUP}) WHERE rn = 1)
-SELECT {LEDGER_SELECT} FROM {LED} t
-WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.N_CONTA = t.N_CONTA AND s.N_CENTRO_CUSTO = t.N_CENTRO_CUSTO
-                  AND s.DATA = t.DATA AND s.VERSAO = t.VERSAO)
+WITH s AS MATERIALIZED (
+  SELECT N_CONTA, N_CENTRO_CUSTO, DATA, VERSAO,
+    max({{'a': DATA_ATUALIZACAO, 'd': coalesce(DESCRICAO, ''), 'v': VALOR, 'o': coalesce(OPERACAO, ''), 'f': coalesce(FILIAL, ''),
+         'r': coalesce(RATEIO, ''), 'g': coalesce(ORIGEM, ''),
+         'row': {{'d': DESCRICAO, 'v': VALOR, 'o': OPERACAO, 'f': FILIAL, 'r': RATEIO, 'g': ORIGEM}}}}) AS m
+  FROM {DDUP} GROUP BY N_CONTA, N_CENTRO_CUSTO, DATA, VERSAO)
+SELECT {LEDGER_SELECT} FROM {LED} t ANTI JOIN s USING (N_CONTA, N_CENTRO_CUSTO, DATA, VERSAO)
 UNION ALL
-SELECT N_CONTA, N_CENTRO_CUSTO, DESCRICAO, VALOR, DATA, VERSAO, OPERACAO, {AS_OF_SQL} AS DATA_ATUALIZACAO,
-       FILIAL, RATEIO, ORIGEM FROM s
+SELECT N_CONTA, N_CENTRO_CUSTO, m['row'].d AS DESCRICAO, m['row'].v AS VALOR, DATA, VERSAO, m['row'].o AS OPERACAO,
+       {AS_OF_SQL} AS DATA_ATUALIZACAO, m['row'].f AS FILIAL, m['row'].r AS RATEIO, m['row'].g AS ORIGEM FROM s
 """)
 def q_merge_dedup(spark, sf):
     return M.merge_upsert(fx.led(spark, sf), fx.delta_dup(spark, sf), as_of=AS_OF)

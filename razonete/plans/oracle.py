@@ -64,7 +64,7 @@ def parse_valor(x: str) -> str:
 
 def parse_valor_br(x: str) -> str:
     s = f"trim({x})"
-    return (f"TRY_CAST(CASE WHEN contains({s}, ',') THEN replace(replace({s}, '.', ''), ',', '.') "
+    return (f"TRY_CAST(CASE WHEN regexp_matches({s}, ',.*\\.') THEN NULL WHEN contains({s}, ',') THEN replace(replace({s}, '.', ''), ',', '.') "
             f"ELSE {s} END AS DOUBLE)")
 
 
