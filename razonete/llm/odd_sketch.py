@@ -11,9 +11,10 @@
    population count of their XOR) estimates the similarity; pairs well below
    the threshold are dropped, the rest are confirmed on their full sets.
 4. Confirmed links are closed to components. Buckets that still hold several
-   components are open: up to ``HEAD_ROUNDS`` times, while that finds links, the
-   members outside an open bucket's largest component are compared with another
-   member of it, drawn by hash.
+   components are open: up to ``HEAD_ROUNDS`` times, while that finds a link for
+   every ``HEAD_YIELD`` pairs, the members outside an open bucket's largest
+   component are compared with another member of it, drawn by hash. New links
+   join whole components, so only those are closed anew.
 5. The members of buckets that are open then are not paired inside the bucket:
    each is dealt by the rarest shingles of its set, so many that two sets above
    the threshold must share one (prefix filtering; shingles that only one
@@ -52,7 +53,7 @@ BANDS, ROWS = 48, 4
 SKETCH_LONGS = 8                 # 512 bits
 LOWEST_ESTIMATE = 0.5            # over five standard errors of 192 samples below 0.75
 ID_FILTER_BITS, ID_FILTER_HASHES = 1 << 23, 2
-HEAD_ROUNDS = 4
+HEAD_ROUNDS, HEAD_YIELD = 4, 50
 CELL, SET_SKETCH_LONGS = 4096, 32  # entries of one task's comparison; 2,048 bits
 PAIRS_PER_SALT = 256             # a member of more pairs than this is dealt over several tasks
 _A = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -182,6 +183,16 @@ def components(edges: DataFrame, name: str = "labels", ws: Workspace | None = No
             return labels
 
 
+def joined_components(labels: DataFrame, edges: DataFrame, name: str, ws: Workspace) -> DataFrame:
+    """``labels`` (cls, label) after the new ``edges`` (x, y), closed over the components that they join."""
+    x, y = labels.select(F.col("cls").alias("x"), F.col("label").alias("lx")), labels.select(F.col("cls").alias("y"), F.col("label").alias("ly"))
+    between = edges.join(x, "x", "left").join(y, "y", "left").select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y"))
+    top = components(between.where("x != y").distinct(), name, ws).select(F.col("cls").alias("label"), F.col("label").alias("low"))
+    old = salted_join(labels, top, ["label"], [F.col("cls")], salts=4).select("cls", F.coalesce("low", "label").alias("label"))
+    alone = top.select(F.col("label").alias("cls"), F.col("low").alias("label")).join(labels.select("cls"), "cls", "left_anti")
+    return ws.stage(old.unionByName(alone), name)
+
+
 def _open_members(ws: Workspace, shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, cls, label) of the members of buckets that hold several components."""
     named = ws.stage(salted_join(shared.select("bucket", "cls"), labels, ["cls"], [F.col("bucket")], salts=4)
@@ -327,16 +338,17 @@ def _grouped(docs: DataFrame, min_percent: int, id_col: str, text_col: str) -> t
         tested = ws.stage(_head_pairs(ws, open_, done, seed), "heads")
         found = ws.stage(_confirmed(ws, _near(ws, tested, reps), sets, min_percent), "links")
         done = done.union(tested)
-        if found.isEmpty():
+        n = found.count()
+        if n:
+            labels = joined_components(labels, found, "odd-labels", ws)
+            open_ = _open_members(ws, shared, labels)
+        if n * HEAD_YIELD < tested.count() or not n:
             break
-        edges = edges.union(found)
-        labels = components(edges, "odd-labels", ws)
-        open_ = _open_members(ws, shared, labels)
     if not open_.isEmpty():
         pairs = _rare_pairs(ws, open_.select("cls", "label").distinct(), sets, done, min_percent)
         found = ws.stage(_confirmed(ws, _near(ws, pairs, reps), sets, min_percent), "links")
         if not found.isEmpty():
-            labels = components(edges.union(found), "odd-labels", ws)
+            labels = joined_components(labels, found, "odd-labels", ws)
     named = stage(salted_join(linked.select("doc_id", "cls"), labels, ["cls"], [F.col("doc_id")], salts=8)
                   .select("doc_id", "cls", F.coalesce("label", "cls").alias("label")), "odd-named")
     ws.close()
