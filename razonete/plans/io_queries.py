@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import validate as V
-from ..schema import FILE_COL, LEDGER_COLUMNS, RAW_COLUMNS
+from ..schema import FILE_COL, KEYS, LEDGER_COLUMNS, RAW_COLUMNS
 from ..session import scratch_path
 from ..sources import files
 from ..sources.store import LedgerStore, append_table, evolve
 from . import fixtures as fx
 from . import oracle as O
-from .catalog import AS_OF, AS_OF_SQL, DELTA, LED, RAW, RAWO, error_lines_sql, register
+from .catalog import AS_OF, AS_OF_SQL, DELTA, F_DELETE, LED, ORACLE, RAW, RAWO, _sql_filters, error_lines_sql, register
 
 _LED_NO_NEW = ", ".join(c if c not in ("RATEIO", "ORIGEM") else f"CAST(NULL AS VARCHAR) AS {c}" for c in LEDGER_COLUMNS)
 
@@ -239,6 +239,75 @@ def q_gate_profile_lots(spark, sf):
     return spark.read.parquet(f"{_imported(spark, sf)}/perfil")
 
 
+# ---- a chain of commits: the edits, then a delete by filters
+_COLS = ", ".join(LEDGER_COLUMNS)
+_AFTER_EDIT = f"SELECT {_COLS} FROM ({ORACLE['apply_edits']})"
+_AFTER_DELETE = f"SELECT * FROM ({_AFTER_EDIT}) WHERE NOT coalesce(({_sql_filters(F_DELETE)}), false)"
+
+
+def _changed(spark, sf):
+    """A stored ledger, edited and then cut by filters: (store, audit log, state before the edits)."""
+    from ..operators.audit import AuditContext
+    from ..sources.store import AuditLog
+    from .maintenance import delete_records, edit_records
+
+    root = scratch_path(spark, "changes")
+    store, audit, ctx = LedgerStore(spark, f"{root}/ledger"), AuditLog(spark, f"{root}/audit"), AuditContext(as_of=AS_OF)
+    store.replace_all(fx.led(spark, sf), lote="carga-inicial", as_of=AS_OF)
+    first = store.read()
+    edit_records(store, audit, fx.edits(spark, sf), ctx)
+    delete_records(store, audit, ctx, filters=F_DELETE)
+    return store, audit, first
+
+
+@register("edit_delete_commit", _AFTER_DELETE)
+def q_edit_delete_commit(spark, sf):
+    """L3: the edit set and the delete by filters, committed one after the other and read back."""
+    return _changed(spark, sf)[0].read()
+
+
+def _images_sql(before: str, after: str, snapshot: int) -> str:
+    rest = [c for c in LEDGER_COLUMNS if c not in KEYS]
+    return f"""
+SELECT CASE WHEN b.VEZES IS NULL THEN 'INSERIDO' WHEN a.VEZES IS NULL THEN 'REMOVIDO' ELSE 'ATUALIZADO' END AS TIPO, {', '.join(KEYS)},
+  {', '.join(f'b.{c} AS ANTES_{c}' for c in rest)}, {', '.join(f'a.{c} AS DEPOIS_{c}' for c in rest)},
+  coalesce(b.VEZES, a.VEZES) AS VEZES, CAST({snapshot} AS BIGINT) AS SNAPSHOT
+FROM (SELECT {_COLS}, count(*) AS VEZES FROM (SELECT {_COLS} FROM {before} EXCEPT ALL SELECT {_COLS} FROM {after}) GROUP BY ALL) b
+FULL JOIN (SELECT {_COLS}, count(*) AS VEZES FROM (SELECT {_COLS} FROM {after} EXCEPT ALL SELECT {_COLS} FROM {before}) GROUP BY ALL) a
+  USING ({', '.join(KEYS)})"""
+
+
+@register("row_images", f"{_images_sql(LED, f'({_AFTER_EDIT})', 2)} UNION ALL {_images_sql(f'({_AFTER_EDIT})', f'({_AFTER_DELETE})', 3)}")
+def q_row_images(spark, sf):
+    """A2 + A3: the change tables that the edit and the delete wrote, every changed row before and after."""
+    return _changed(spark, sf)[1].images()
+
+
+@register("row_images_replay", _AFTER_DELETE)
+def q_row_images_replay(spark, sf):
+    """A2 + A3: the first state with the two change tables replayed in their order."""
+    from ..operators.changes import replay
+
+    _, audit, state = _changed(spark, sf)
+    for snapshot in (2, 3):
+        state = replay(state, audit.images().where(F.col("SNAPSHOT") == snapshot))
+    return state
+
+
+@register("totals_kept", f"""
+SELECT VERSAO, FILIAL, CAST(grouping(VERSAO, FILIAL) AS INTEGER) AS NIVEL, count(*) AS REGISTROS,
+  CAST(sum(CAST(VALOR AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS TOTAL_VALOR
+FROM ({_AFTER_DELETE}) GROUP BY ROLLUP (VERSAO, FILIAL)""")
+def q_totals_kept(spark, sf):
+    """R3 kept up to date: the totals of the first state, written, and then only the change tables summed into them."""
+    from ..operators import report as RP
+    from ..sources.store import stage
+
+    _, audit, first = _changed(spark, sf)
+    leaves = stage(RP.category_leaves(first), "totals")
+    return RP.totals_of_leaves(RP.updated_leaves(leaves, RP.changed_leaves(audit.images()))).drop("FORA_DO_TOTAL")
+
+
 _MESSY = {"FILIAL": "filial", "DATA": "Data", "N_CONTA": "N CONTA", "N_CENTRO_CUSTO": " n centro  custo",
           "OPERACAO": "Operação", "VALOR": "valor", "DESCRICAO": "Descrição", "TIPO": "tipo", "VERSAO": "VERSÃO",
           "RATEIO": "Rateio", "ORIGEM": "orígem"}

@@ -7,7 +7,8 @@ rows with the true counts. A request that matches nothing is a no-op, as in
 the reference's delete-by-filters; the audit is appended after the commit,
 the same order the reference uses. Snapshots are immutable, so the audit is
 computed lazily from the pre-change snapshot even after the commit: nothing
-but per-version counts reaches the driver.
+but per-version counts reaches the driver. Every commit also writes its change
+table (row images before and after, ``AuditLog.images``) from its two snapshots.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as A
 from ..operators import mutate as MU
+from ..operators.changes import row_images
 from ..operators.query import Filters, predicate
 from ..schema import KEYS
 from ..sources.store import AuditLog, LedgerStore
@@ -41,8 +43,9 @@ def edit_records(store: LedgerStore, audit_log: AuditLog, edits: DataFrame, ctx:
     found = current.join(edits.select(*KEYS).distinct(), KEYS, "left_semi").count()
     if found == 0:
         return 0
-    store.commit(MU.apply_edits(current, edits, as_of=ctx.as_of), touched=versions, as_of=ctx.as_of)
+    snapshot = store.commit(MU.apply_edits(current, edits, as_of=ctx.as_of), touched=versions, as_of=ctx.as_of)
     audit_log.append(A.audit_edit(MU.edit_diff(current, edits), ctx))
+    audit_log.put_images(row_images(current, store.read(versions)), snapshot)
     return found
 
 
@@ -64,8 +67,9 @@ def delete_records(
         n = current.count()
         if n == 0:
             return 0
-        store.commit(current.limit(0), touched=[], removed=[versao], as_of=ctx.as_of)
+        snapshot = store.commit(current.limit(0), touched=[], removed=[versao], as_of=ctx.as_of)
         audit_log.append(A.audit_delete_version(current, versao, ctx))
+        audit_log.put_images(row_images(current, store.read([versao])), snapshot)
         return n
     if keys is not None:
         keys = MU.typed_keys(keys)
@@ -91,6 +95,7 @@ def delete_records(
     if n == 0:
         return 0
     current = store.read(touched)
-    store.commit(new_rows(current), touched=touched, as_of=ctx.as_of)
+    snapshot = store.commit(new_rows(current), touched=touched, as_of=ctx.as_of)
     audit_log.append(audit_rows(current))  # reads the pre-delete snapshot
+    audit_log.put_images(row_images(current, store.read(touched)), snapshot)
     return n

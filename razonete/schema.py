@@ -51,6 +51,17 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("ORIGEM", T.StringType(), True),
 ])
 
+# row images of a change: prefixes of a column's value before and after it
+IMAGE_BEFORE, IMAGE_AFTER = "ANTES_", "DEPOIS_"
+_IMAGED = [f for f in LEDGER_SCHEMA.fields if f.name not in KEYS]
+IMAGE_SCHEMA = T.StructType([
+    T.StructField("TIPO", T.StringType(), True),
+    *[T.StructField(c, LEDGER_SCHEMA[c].dataType, True) for c in KEYS],
+    *[T.StructField(p + f.name, f.dataType, True) for p in (IMAGE_BEFORE, IMAGE_AFTER) for f in _IMAGED],
+    T.StructField("VEZES", T.LongType(), True),
+    T.StructField("SNAPSHOT", T.LongType(), True),
+])
+
 AUDIT_SCHEMA = T.StructType([
     T.StructField("DATA_IMPORTACAO", T.TimestampNTZType(), False),
     T.StructField("USUARIO", T.StringType(), False),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import AUDIT_COLUMNS, AUDIT_SCHEMA, LEDGER_COLUMNS, LEDGER_SCHEMA
+from ..schema import AUDIT_COLUMNS, AUDIT_SCHEMA, IMAGE_SCHEMA, LEDGER_COLUMNS, LEDGER_SCHEMA
 from ..session import scratch_path
 
 LOG_SCHEMA = T.StructType([
@@ -172,6 +172,17 @@ class AuditLog:
         except AnalysisException:
             return self.spark.createDataFrame([], AUDIT_SCHEMA)
 
+    def put_images(self, images: DataFrame, snapshot: int) -> None:
+        """The change table of a commit, beside the audit texts; the same snapshot rewrites its own folder."""
+        (images.withColumn("SNAPSHOT", F.lit(snapshot).cast("long")).select(*IMAGE_SCHEMA.names)
+         .write.mode("overwrite").parquet(f"{self.path}_imagens/{snapshot:010d}"))
+
+    def images(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(IMAGE_SCHEMA).option("recursiveFileLookup", True).parquet(f"{self.path}_imagens")
+        except AnalysisException:
+            return self.spark.createDataFrame([], IMAGE_SCHEMA)
+
 
 def append_table(df: DataFrame, path: str) -> None:
     """Append rows to a parquet table."""
