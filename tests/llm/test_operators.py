@@ -378,3 +378,16 @@ def test_pipeline_rows(spark, tmpdir_path):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = Counter((i, len(e := enc.encode_ordinary(t)), sha(" ".join(map(str, e))), sha(t)) for i, t, *_ in mixed)
     assert Counter(map(tuple, corpus_pipeline.run(spark, tmpdir_path).collect())) == want
+
+
+def test_joined_components_equal_a_full_closure(spark):
+    """New links over old labels: two components, a component and a single, two singles, a link inside one."""
+    from razonete.llm.common import Workspace
+    from razonete.llm.odd_sketch import components, joined_components
+
+    ws = Workspace(spark, "joined")
+    old = spark.createDataFrame([(2, 1), (3, 2), (6, 5), (9, 8)], "x long, y long")
+    new = spark.createDataFrame([(6, 3), (9, 7), (12, 11), (3, 1)], "x long, y long")
+    got = {tuple(r) for r in joined_components(components(old, "a", ws), new, "b", ws).collect()}
+    ws.close()
+    assert got == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (7, 7), (8, 7), (9, 7), (11, 11), (12, 11)}
