@@ -7,9 +7,11 @@ the result back, so the check exercises the real sinks and sources.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import validate as V
-from ..schema import FILE_COL, KEYS, LEDGER_COLUMNS, RAW_COLUMNS
+from ..operators.query import Filters, ledger_filter
+from ..schema import FILE_COL, KEYS, LEDGER_COLUMNS, LEDGER_SCHEMA, RAW_COLUMNS
 from ..session import scratch_path
 from ..sources import files
 from ..sources.store import LedgerStore, append_table, evolve
@@ -48,6 +50,53 @@ def q_ledger_merge_commit(spark, sf):
     return store.read()
 
 
+F_LOOKUP = Filters(n_conta="10007919", data_inicio="1995-01-01", data_fim="1996-12-31")
+
+
+@register("filter_eq_stored", f"SELECT * FROM {LED} WHERE {_sql_filters(F_LOOKUP)}")
+def q_filter_eq_stored(spark, sf):
+    """Q1a + Q1b over the stored ledger: one account in a date range, by the statistics and Bloom filters of its files."""
+    store = LedgerStore(spark, scratch_path(spark, "ledger"))
+    store.replace_all(fx.led(spark, sf), lote="carga-inicial", as_of=AS_OF)
+    return ledger_filter(store.read(), F_LOOKUP)
+
+
+_OLD_MERGED = f"""(SELECT * FROM (SELECT {_LED_NO_NEW} FROM {LED}) t WHERE NOT EXISTS (SELECT 1 FROM {DELTA} s
+  WHERE s.N_CONTA = t.N_CONTA AND s.N_CENTRO_CUSTO = t.N_CENTRO_CUSTO AND s.DATA = t.DATA AND s.VERSAO = t.VERSAO)
+UNION ALL SELECT {', '.join(f"{AS_OF_SQL} AS {c}" if c == 'DATA_ATUALIZACAO' else c for c in LEDGER_COLUMNS)} FROM {DELTA})"""
+
+
+def _evolved(spark, sf):
+    """A ledger stored with nine columns, merged with a batch of eleven: the versions left alone keep their files."""
+    from ..operators.merge import merge_upsert
+
+    root = scratch_path(spark, "ledger")
+    old = LedgerStore(spark, root, T.StructType([f for f in LEDGER_SCHEMA.fields if f.name not in ("RATEIO", "ORIGEM")]))
+    old.replace_all(fx.led(spark, sf), lote="carga-inicial", as_of=AS_OF)
+    store, batch = LedgerStore(spark, root), fx.delta(spark, sf)
+    versions = [r.VERSAO for r in batch.select("VERSAO").distinct().collect()]
+    store.commit(merge_upsert(store.read(versions), batch, as_of=AS_OF), touched=versions, lote="delta", as_of=AS_OF)
+    return store
+
+
+@register("ledger_evolve_commit", f"SELECT * FROM {_OLD_MERGED}")
+def q_ledger_evolve_commit(spark, sf):
+    """S10 in the store: files of nine and of eleven columns, read as one ledger after a merge."""
+    return _evolved(spark, sf).read()
+
+
+@register("ledger_evolve_edit", ORACLE["apply_edits"].replace(f"FROM {LED} t", f"FROM {_OLD_MERGED} t"))
+def q_ledger_evolve_edit(spark, sf):
+    """S10 in the store: the edit set committed over a ledger of nine and eleven columns."""
+    from ..operators.audit import AuditContext
+    from ..sources.store import AuditLog
+    from .maintenance import edit_records
+
+    store = _evolved(spark, sf)
+    edit_records(store, AuditLog(spark, scratch_path(spark, "audit")), fx.edits(spark, sf), AuditContext(as_of=AS_OF))
+    return store.read()
+
+
 @register("table_append", f"SELECT * FROM {LED} UNION ALL SELECT * FROM {DELTA}")
 def q_table_append(spark, sf):
     path = scratch_path(spark, "append")

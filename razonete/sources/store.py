@@ -7,6 +7,11 @@ per snapshot, which directory holds each live version. Untouched versions are
 referenced, not copied. A snapshot becomes visible only when its log rows are
 appended, and no commit ever overwrites a path that is being read.
 
+The log also keeps the columns each directory was written with. Directories
+of one column set are read by one scan, whatever the number of commits, and
+columns that a directory lacks are filled with the reader's defaults (S10).
+Rows are stored in the order of ``clustered``.
+
 The log holds one row per live version per snapshot (a few hundred rows), so
 reading it on the driver is metadata, not data. One writer at a time is
 assumed (the stream's micro-batches are sequential); folders no longer
@@ -17,16 +22,19 @@ from __future__ import annotations
 
 import datetime as _dt
 import hashlib
+import json
 import uuid
 from collections import defaultdict
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import AUDIT_COLUMNS, AUDIT_SCHEMA, IMAGE_SCHEMA, LEDGER_COLUMNS, LEDGER_SCHEMA
+from ..schema import AUDIT_COLUMNS, AUDIT_SCHEMA, IMAGE_SCHEMA, LEDGER_SCHEMA
 from ..session import scratch_path
+from .clustered import PAGE_ROWS, write_clustered
 
 LOG_SCHEMA = T.StructType([
     T.StructField("SNAPSHOT", T.LongType(), False),
@@ -34,9 +42,9 @@ LOG_SCHEMA = T.StructType([
     T.StructField("DIRETORIO", T.StringType(), True),
     T.StructField("LOTE", T.StringType(), True),
     T.StructField("GRAVADO_EM", T.TimestampNTZType(), True),
+    T.StructField("COLUNAS", T.StringType(), True),  # the directory's columns and types; null: LEDGER_SCHEMA
 ])
 PART = "PARTICAO"  # partition column: a digest of VERSAO, so any text (the empty one too) is a version
-STORED_SCHEMA = T.StructType([*LEDGER_SCHEMA.fields, T.StructField(PART, T.StringType(), True)])
 EMPTY_MARK = None  # a snapshot row with VERSAO = null records a commit that left no version
 
 
@@ -57,12 +65,32 @@ def part_of(versao) -> str:
     return hashlib.md5((versao or "").encode()).hexdigest()
 
 
+@dataclass(frozen=True)
+class Stored:
+    """Where a live version lies, and the columns it was written with (JSON of a StructType)."""
+
+    directory: str
+    columns: str
+
+    def path(self, versao: str) -> str:
+        return f"{self.directory}/{PART}={part_of(versao)}"
+
+
 class LedgerStore:
-    """A ledger table (schema :data:`LEDGER_SCHEMA`) partitioned by a digest of VERSAO (null counts as '')."""
+    """A ledger table partitioned by a digest of VERSAO (null counts as '').
+
+    ``schema`` is what commits write and reads return, :data:`LEDGER_SCHEMA` unless given. Versions written under
+    another schema keep theirs: on read their columns are cast by name, missing ones get ``defaults`` (null without
+    one), columns that the reader's schema lacks stay unread. A commit writes the versions it touches in ``schema``.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType = LEDGER_SCHEMA, defaults: dict | None = None,
+                 page_rows: int = PAGE_ROWS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.schema = schema
+        self.defaults = defaults or {}
+        self.page_rows = page_rows
 
     # ------------------------------------------------------------------ log
     @property
@@ -82,14 +110,18 @@ class LedgerStore:
         v = log.agg(F.max("SNAPSHOT")).first()[0]
         return int(v or 0)
 
-    def live(self) -> dict[str, str]:
-        """VERSAO -> directory of its partition in the current snapshot."""
+    def stored(self) -> dict[str, Stored]:
+        """VERSAO -> place and columns of its partition in the current snapshot."""
         log = self._log()
         if log is None:
             return {}
         sid = self.snapshot_id()
         rows = log.where(F.col("SNAPSHOT") == sid).where(F.col("VERSAO").isNotNull()).collect()
-        return {r.VERSAO: r.DIRETORIO for r in rows}
+        return {r.VERSAO: Stored(r.DIRETORIO, r.COLUNAS or LEDGER_SCHEMA.json()) for r in rows}
+
+    def live(self) -> dict[str, str]:
+        """VERSAO -> directory of its partition in the current snapshot."""
+        return {v: s.directory for v, s in self.stored().items()}
 
     def has_batch(self, lote: str) -> bool:
         log = self._log()
@@ -99,24 +131,26 @@ class LedgerStore:
 
     # ----------------------------------------------------------------- read
     def read(self, versions=None) -> DataFrame:
-        """The current ledger, with partition pruning when ``versions`` is given."""
-        live = self.live()
-        if versions is not None:
-            wanted = {v or "" for v in versions}
-            live = {v: d for v, d in live.items() if v in wanted}
-        by_dir: dict[str, list[str]] = defaultdict(list)
-        for v, d in live.items():
-            by_dir[d].append(v)
-        parts = [
-            self.spark.read.schema(STORED_SCHEMA).parquet(d).where(F.col(PART).isin(sorted(map(part_of, vs))))
-            for d, vs in sorted(by_dir.items())
-        ]
-        if not parts:
-            return self.spark.createDataFrame([], LEDGER_SCHEMA)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.select(*LEDGER_COLUMNS)
+        """The current ledger, or only ``versions`` of it: one scan for each stored column set."""
+        wanted = None if versions is None else {v or "" for v in versions}
+        by_columns: dict[str, list[str]] = defaultdict(list)
+        for v, s in sorted(self.stored().items()):
+            if wanted is None or v in wanted:
+                by_columns[s.columns].append(s.path(v))
+        out = None
+        for columns, paths in sorted(by_columns.items()):
+            part = self._conform(self.spark.read.schema(T.StructType.fromJson(json.loads(columns))).parquet(*paths))
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], self.schema) if out is None else out
+
+    def _conform(self, df: DataFrame) -> DataFrame:
+        """The reader's columns of stored rows; a column they lack holds its default."""
+        cols = []
+        for f in self.schema.fields:
+            c = F.col(f.name) if f.name in df.columns else F.lit(self.defaults.get(f.name))
+            same = f.name in df.columns and df.schema[f.name].dataType == f.dataType
+            cols.append(c if same else c.cast(f.dataType).alias(f.name))
+        return df.select(*cols)
 
     # --------------------------------------------------------------- commit
     def commit(self, rows: DataFrame, touched, removed=(), lote: str | None = None,
@@ -134,15 +168,17 @@ class LedgerStore:
         touched = {v or "" for v in touched}
         written: set[str] = set()
         if touched:
-            out = (rows.select(*LEDGER_COLUMNS).withColumn("VERSAO", F.coalesce("VERSAO", F.lit("")))
+            out = (rows.select(*self.schema.names).withColumn("VERSAO", F.coalesce("VERSAO", F.lit("")))
                    .where(F.col("VERSAO").isin(sorted(touched))).withColumn(PART, F.md5("VERSAO")))
-            out.write.partitionBy(PART).parquet(directory)
-            parts = {r[PART] for r in self.spark.read.schema(STORED_SCHEMA).parquet(directory).select(PART).distinct().collect()}
+            write_clustered(out, directory, PART, self.page_rows)
+            kept = T.StructType([*self.schema.fields, T.StructField(PART, T.StringType(), True)])
+            parts = {r[PART] for r in self.spark.read.schema(kept).parquet(directory).select(PART).distinct().collect()}
             written = {v for v in touched if part_of(v) in parts}
-        live = {v: d for v, d in self.live().items() if v not in touched and v not in {x or "" for x in removed}}
-        live.update({v: directory for v in written})
+        live = {v: s for v, s in self.stored().items() if v not in touched and v not in {x or "" for x in removed}}
+        live.update({v: Stored(directory, self.schema.json()) for v in written})
         stamp = as_of or _dt.datetime(1970, 1, 1)
-        log_rows = [(sid, v, d, lote, stamp) for v, d in sorted(live.items())] or [(sid, EMPTY_MARK, None, lote, stamp)]
+        log_rows = ([(sid, v, s.directory, lote, stamp, s.columns) for v, s in sorted(live.items())]
+                    or [(sid, EMPTY_MARK, None, lote, stamp, None)])
         self.spark.createDataFrame(log_rows, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self.log_path)
         return sid
 
