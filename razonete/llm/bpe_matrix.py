@@ -10,15 +10,14 @@ same ranks: a piece that is itself a token is that token, all else is merged
 from single bytes.
 
 Defined cases: a null text is empty and has no ids; texts of any length are
-encoded whole; pieces of over ``LONG_PIECE`` bytes, whose matrix would be one
-very wide row, are merged with a heap in the same order.
+encoded whole; a piece of over ``LONG_PIECE`` bytes is a matrix of one row, in
+which a round merges all pairs of minimum rank that merging one by one would.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -142,27 +141,37 @@ class BpeEncoder:
                 rank = rank[:, :0]
         return out
 
-    def _merge_long(self, piece: bytes) -> bytes:
-        """One long piece: the same merges, found with a heap over a linked list."""
-        n = len(piece)
-        tok = [int(self.byte_ids[b]) for b in piece]
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        join = lambda i: self.ranks.get(self.tokens[tok[i]] + self.tokens[tok[right[i]]]) if right[i] >= 0 else None
-        heap = [(r, i, tok[i], tok[i + 1]) for i in range(n - 1) if (r := join(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = right[i] if tok[i] >= 0 else -1
-            if j < 0 or tok[i] != a or tok[j] != b:
-                continue  # one of the two has been merged since
-            tok[i], tok[j] = r, -1
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for k in (left[i], i):
-                if k >= 0 and right[k] >= 0 and (s := join(k)) is not None:
-                    heapq.heappush(heap, (s, k, tok[k], tok[right[k]]))
-        return np.array([t for t in tok if t >= 0], "<u4").tobytes()
+    def _merge_row(self, piece: bytes) -> bytes:
+        """One long piece as a matrix of one row, the same merges with many of them in a round.
+
+        The pairs of minimum rank are merged from the left, overlapping ones every other, as one after the other
+        would. A merge that makes a pair of a lower rank ends the round, since that pair comes next.
+        """
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        rank = np.append(self.table.rank(ids[:-1], ids[1:]), np.int32(_NONE))  # of each id with the one behind it
+        while (least := rank.min()) != _NONE:
+            at = np.flatnonzero(rank == least)
+            order = np.arange(len(at))
+            first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) == 1, 0, order))  # of its run of neighbours
+            at = at[(order - first) % 2 == 0]
+            merged = np.full(len(at), least, np.uint16)
+            before = np.where(at > 0, ids[at - 1], np.uint16(_PAD))
+            before[1:][np.diff(at) == 2] = least  # merged in this round, too
+            behind = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], np.uint16(_PAD))
+            lower = (self.table.rank(before, merged) < least) | (self.table.rank(merged, behind) < least)
+            if lower.any():
+                at = at[:lower.argmax() + 1]
+            ids[at] = least
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, rank = ids[keep], rank[keep]
+            here = at - np.arange(len(at))
+            here = np.union1d(here, here[here > 0] - 1)
+            last = here == len(ids) - 1
+            rank[here[last]] = _NONE
+            here = here[~last]
+            rank[here] = self.table.rank(ids[here], ids[here + 1])
+        return ids.astype("<u4").tobytes()
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of distinct pieces."""
@@ -173,7 +182,7 @@ class BpeEncoder:
             if (r := self.ranks.get(raw)) is not None:
                 out[p] = r.to_bytes(4, "little")
             elif len(raw) > LONG_PIECE:
-                out[p] = self._merge_long(raw)
+                out[p] = self._merge_row(raw)
             else:
                 n = len(raw)
                 buckets.setdefault(n + (-n) % 4 if n <= 32 else 1 << (n - 1).bit_length(), []).append((p, raw))
