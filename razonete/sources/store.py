@@ -170,7 +170,8 @@ class LedgerStore:
         if touched:
             out = (rows.select(*self.schema.names).withColumn("VERSAO", F.coalesce("VERSAO", F.lit("")))
                    .where(F.col("VERSAO").isin(sorted(touched))).withColumn(PART, F.md5("VERSAO")))
-            write_clustered(out, directory, PART, self.page_rows)
+            # arranging reads its rows three times (quantiles, range borders, exchange): a merge or an edit runs once
+            write_clustered(stage(out, "commit"), directory, PART, self.page_rows)
             kept = T.StructType([*self.schema.fields, T.StructField(PART, T.StringType(), True)])
             parts = {r[PART] for r in self.spark.read.schema(kept).parquet(directory).select(PART).distinct().collect()}
             written = {v for v in touched if part_of(v) in parts}
