@@ -78,12 +78,12 @@ def row_slices(text: pa.LargeStringArray, max_bytes: int = 1 << 21) -> Iterator[
         i = j
 
 
-def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable, schema: str, max_bytes: int = 1 << 21) -> DataFrame:
     """``mapInArrow`` over slices of bounded size; ``fn(batch slice)`` returns a RecordBatch or a list of them."""
 
     def run(batches):
         for batch in batches:
-            for i, j in row_slices(text_column(batch)):
+            for i, j in row_slices(text_column(batch), max_bytes):
                 out = fn(batch.slice(i, j - i))
                 yield from (out if isinstance(out, list) else [out])
 

@@ -31,6 +31,7 @@ from .textscan import Words, words
 PASSAGE_WORDS = 64
 MAX_DOCS = 4_000           # labelled documents to fit on, at most (half of either label)
 MAX_PASSAGES = 256_000     # of all documents to fit on, together: that many feature rows come to the driver
+SLICE_BYTES = 1 << 18      # text of a slice; its arrays take about 35 bytes for each byte of text
 THRESHOLD = 0.7
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY, SEED = 24, 12, 150, 0.02, 1e-4, 7
 #: byte classes: ASCII marks one by one, then groups
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_passag
             [raw[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["doc_id", "label", "n", "x"])
 
     own = doc_columns(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")  # ids: at most max_docs rows
-    rows = stage(map_batches(own.select("doc_id", "text", "label"), run, "doc_id bigint, label int, n bigint, x binary"), "mil-passages")
+    rows = stage(map_batches(own.select("doc_id", "text", "label"), run, "doc_id bigint, label int, n bigint, x binary", SLICE_BYTES), "mil-passages")
     rows = rows.withColumns({"h": F.xxhash64("doc_id"), "hx": F.xxhash64("x")})
     sizes = rows.select("h", "doc_id", "hx", "n").orderBy("h", "doc_id", "hx").limit(2 * max_docs).collect()  # a bound also where ids repeat
     taken, room = [], max_passages
@@ -174,7 +175,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(*passages(words(text_column(b)))))], ["doc_id", "score"])
 
-    return map_batches(doc_columns(docs, id_col, text_col), run, "doc_id bigint, score double")
+    return map_batches(doc_columns(docs, id_col, text_col), run, "doc_id bigint, score double", SLICE_BYTES)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -182,7 +183,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
 
     def run(batches):
         for b in batches:
-            for i, j in row_slices(text_column(b, text_col)):
+            for i, j in row_slices(text_column(b, text_col), SLICE_BYTES):
                 part = b.slice(i, j - i)
                 good = model.score(*passages(words(text_column(part, text_col)))) >= threshold
                 yield part.filter(pa.array(good))
