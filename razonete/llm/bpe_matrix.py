@@ -29,6 +29,7 @@ from .segments import SegmentEncoder
 
 LONG_PIECE = 1 << 11
 CACHE_ENTRIES = 400_000  # segments that a worker process remembers
+SLICE_BYTES = 1 << 18  # text that is encoded at once: its arrays are many times as large
 _PAD = 0xFFFF  # an id without pairs; ranks stay below it
 _NONE = np.iinfo(np.int32).max
 _encoders: dict[tuple[str, str], BpeEncoder] = {}
@@ -225,7 +226,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.ListArray.from_arrays(
             pa.array(ends), pa.array(flat.astype(np.int32)))], ["doc_id", "n_tokens", "ids"])
 
-    return map_batches(doc_columns(docs, id_col, text_col), run, "doc_id bigint, n_tokens bigint, ids array<int>")
+    return map_batches(doc_columns(docs, id_col, text_col), run, "doc_id bigint, n_tokens bigint, ids array<int>", SLICE_BYTES)
 
 
 def decode(encoded: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
@@ -258,4 +259,4 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "do
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(doc_columns(docs, id_col, text_col), run,
-                       "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                       "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", SLICE_BYTES)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import bound_arrow_batches, scratch_path
 from ..sources.store import stage
 
 #: a word, everywhere in this subpackage (fixed value)
@@ -87,6 +87,7 @@ def map_batches(df: DataFrame, fn: Callable, schema: str, max_bytes: int = 1 <<
                 out = fn(batch.slice(i, j - i))
                 yield from (out if isinstance(out, list) else [out])
 
+    bound_arrow_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

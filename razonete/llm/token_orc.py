@@ -29,11 +29,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import bound_arrow_batches
 from .common import doc_columns, row_slices, text_column
 from .segments import SegmentEncoder
 
 END_ID = 0
 STRIPE_BYTES = 16 << 20
+SLICE_BYTES = 1 << 20  # text that is encoded at once: its arrays are many times as large
 ROW_INDEX_STRIDE = 1_000
 ORC_SCHEMA = "doc_id bigint, part int, local_start bigint, n_tokens int, ids array<int>"
 ODD_SPACE = regex.compile(r"\s")
@@ -111,9 +113,10 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_file: str, *, id_col:
         done = 0
         enc = _encoder(tokenizer_file)
         for batch in batches:
-            for i, j in row_slices(text_column(batch)):
+            text = text_column(batch)
+            for i, j in row_slices(text, SLICE_BYTES):
                 b = batch.slice(i, j - i)
-                flat, lengths = enc.encode(text_column(b))
+                flat, lengths = enc.encode(text.slice(i, j - i))
                 flat = np.insert(flat, np.cumsum(lengths), end_id)
                 lengths = lengths + 1
                 starts = done + np.concatenate([[0], np.cumsum(lengths)])
@@ -124,6 +127,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_file: str, *, id_col:
                     [b.column(0), b.column(2), pa.array(starts[:-1], pa.int64()), pa.array(lengths.astype(np.int32)), lists],
                     ["doc_id", "part", "local_start", "n_tokens", "ids"])
 
+    bound_arrow_batches(spark)
     (rows.mapInArrow(encode, ORC_SCHEMA).write.option("orc.bloom.filter.columns", "doc_id")
      .option("orc.bloom.filter.fpp", "0.01").option("orc.stripe.size", str(STRIPE_BYTES))
      .option("orc.row.index.stride", str(ROW_INDEX_STRIDE)).option("compression", "zstd").mode("errorifexists").orc(path))
