@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_positions, bits_hit, collect_two, doc_columns, map_batches, mix64, pack_two, row_slices, salted_join, stage, text_column
+from .common import bit_positions, bits_hit, collect_two, doc_columns, map_batches, mix64, pack_two, row_slices, salted_join, stage, text_column, tidy
 from .textscan import Words, rolling, run_starts, words
 
 WINDOW, BLOCK = 13, 7
 FILTER_BITS, FILTER_HASHES = 1 << 28, 3  # 32 MB
+SLICE_BYTES = 1 << 18  # text of a slice: its arrays are many times as large
 
 
 def _blocks(w: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +64,7 @@ def anchor_filter(docs: DataFrame, block: int = BLOCK, bits: int = FILTER_BITS)
         h, times = np.unique(r[at[one]], return_counts=True)
         return pack_two(bit_positions(h, bits, FILTER_HASHES), bit_positions(h[times > 1], bits, FILTER_HASHES), bits)
 
-    blocks, shared = collect_two(map_batches(docs, index, "piece int, pos binary, again binary"), bits)
+    blocks, shared = collect_two(map_batches(docs, index, "piece int, pos binary, again binary", SLICE_BYTES), bits)
     known = sc.broadcast(blocks)
     del blocks
 
@@ -76,7 +77,7 @@ def anchor_filter(docs: DataFrame, block: int = BLOCK, bits: int = FILTER_BITS)
         at = at[~np.isin(_own(r[at], w.doc[at]), _own(r[own], w.doc[own]))]  # not its own block once more
         return pack_two(bit_positions(np.unique(r[at]), bits, FILTER_HASHES), np.zeros(0, np.uint64), bits)
 
-    found = collect_two(map_batches(docs, probe, "piece int, pos binary, again binary"), bits, ("seen",))[0]
+    found = collect_two(map_batches(docs, probe, "piece int, pos binary, again binary", SLICE_BYTES), bits, ("seen",))[0]
     known.unpersist()
     found |= shared
     return found
@@ -99,7 +100,7 @@ def exact_copies(docs: DataFrame) -> DataFrame:
             keys.append(pa.array(total.astype(np.uint64).view(np.int64)))
         return pa.RecordBatch.from_arrays([b.column(0), *keys, pa.array(w.counts, pa.int64())], ["doc_id", "k1", "k2", "n"])
 
-    rows = stage(map_batches(docs, run, "doc_id bigint, k1 bigint, k2 bigint, n bigint").where("n > 0"), "anchor-sequences")
+    rows = stage(map_batches(docs, run, "doc_id bigint, k1 bigint, k2 bigint, n bigint", SLICE_BYTES).where("n > 0"), "anchor-sequences")
     once = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("n").alias("n"))
     once = once.where("rows = 1").drop("rows")
     low = rows.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("last")).where("low < last").drop("last")
@@ -132,7 +133,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bits: int = FILTER_B
         _, one = np.unique(_own(h[at], doc), return_index=True)
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[one])), pa.array(h[at[one]].view(np.int64))], ["doc_id", "h"])
 
-    rows = stage(map_batches(docs, extend, "doc_id bigint, h bigint"), "anchor-windows")
+    rows = stage(map_batches(docs, extend, "doc_id bigint, h bigint", SLICE_BYTES), "anchor-windows")
     # written and read again, so that both sides of the join are plain shuffles, whose hot keys Spark splits
     first = stage(rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("last"))
                   .where("low < last").drop("last"), "anchor-first")
@@ -177,7 +178,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW, bits: int = FILTER_BI
              pa.array([hashlib.sha256(t).hexdigest() for t in _kept_texts(w, gone)])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     marked = docs.join(repeated_windows(docs, window, bits), "doc_id", "left").select("doc_id", "text", "windows", "copy")
-    return map_batches(marked, run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return map_batches(marked, run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", SLICE_BYTES)
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, bits: int = FILTER_BITS, id_col: str = "doc_id",
@@ -191,7 +192,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, bits: int = FILTER_BITS,
 
     def run(batches):
         for batch in batches:
-            for i, j in row_slices(text_column(batch, text_col)):
+            for i, j in row_slices(text_column(batch, text_col), SLICE_BYTES):
                 b = batch.slice(i, j - i)
                 w = words(text_column(b, text_col))
                 gone = covered(w, b.column(b.num_columns - 2), b.column(b.num_columns - 1), window)
@@ -201,4 +202,4 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, bits: int = FILTER_BITS,
                 cols = [pa.array(new, b.schema.field(at).type) if k == at else b.column(k) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(tidy(run), schema)

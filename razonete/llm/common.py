@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ from ..sources.store import stage
 #: a word, everywhere in this subpackage (fixed value)
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "stage", "Workspace", "scratch_path", "salted_join", "doc_columns", "row_slices", "text_column",
+__all__ = ["WORD", "stage", "Workspace", "scratch_path", "salted_join", "doc_columns", "row_slices", "text_column", "tidy",
            "mix64", "bit_positions", "pack_two", "collect_two", "bits_hit", "map_batches"]
 
 
@@ -78,6 +80,31 @@ def row_slices(text: pa.LargeStringArray, max_bytes: int = 1 << 21) -> Iterator[
         i = j
 
 
+def release_memory() -> None:
+    """Gives the memory that this worker has freed back to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, which releases freed memory behind each task.
+
+    Spark reuses its Python workers; otherwise each keeps, also while idle, about the most that any step took in it.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied
+
+
 def map_batches(df: DataFrame, fn: Callable, schema: str, max_bytes: int = 1 << 21) -> DataFrame:
     """``mapInArrow`` over slices of bounded size; ``fn(batch slice)`` returns a RecordBatch or a list of them."""
 
@@ -88,7 +115,7 @@ def map_batches(df: DataFrame, fn: Callable, schema: str, max_bytes: int = 1 <<
                 yield from (out if isinstance(out, list) else [out])
 
     bound_arrow_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 # ------------------------------------------------------------------ hashing
@@ -164,7 +191,7 @@ def collect_two(rows: DataFrame, bits: int, which: tuple[str, ...] = ("seen", "m
 
     out = [np.zeros(bits // 8, np.uint8) for _ in which]
     schema = ", ".join(["piece int", *(f"{c} binary" for c in which)])
-    for r in rows.repartition(8, "piece").mapInArrow(build, schema).toLocalIterator():
+    for r in rows.repartition(8, "piece").mapInArrow(tidy(build), schema).toLocalIterator():
         for filt, c in zip(out, which):
             filt[r.piece * size:(r.piece + 1) * size] = np.frombuffer(r[c], np.uint8)
     return out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, map_batches, mix64, row_slices, stage, text_column
+from .common import doc_columns, map_batches, mix64, row_slices, stage, text_column, tidy
 from .text_rules import labelled_ids
 from .textscan import Words, words
 
@@ -188,4 +188,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
                 good = model.score(*passages(words(text_column(part, text_col)))) >= threshold
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

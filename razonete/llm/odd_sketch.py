@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, bit_positions, bits_hit, collect_two, doc_columns, map_batches, mix64, pack_two, row_slices, salted_join, stage, text_column
+from .common import Workspace, bit_positions, bits_hit, collect_two, doc_columns, map_batches, mix64, pack_two, row_slices, salted_join, stage, text_column, tidy
 from .textscan import rolling, run_starts, words
 
 SHINGLE, MIN_PERCENT = 5, 75
@@ -146,7 +146,7 @@ def _confirmed(ws: Workspace, pairs: DataFrame, sets: DataFrame, min_percent: in
                 good.append(100 * both >= min_percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("x", "y", "xm", "ym").mapInArrow(run, "x bigint, y bigint")
+    return both.select("x", "y", "xm", "ym").mapInArrow(tidy(run), "x bigint, y bigint")
 
 
 def _near(ws: Workspace, pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _rare_pairs(ws: Workspace, open_: DataFrame, sets: DataFrame, done: DataFram
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(n[row]), pa.array(
                 np.concatenate([*sets_of, np.zeros(0, np.int64)]))], ["cls", "label", "n", "h"])
 
-    grams = own.select("cls", "label", "members").mapInArrow(exploded, "cls bigint, label bigint, n bigint, h bigint")
+    grams = own.select("cls", "label", "members").mapInArrow(tidy(exploded), "cls bigint, label bigint, n bigint, h bigint")
     common = ws.stage(grams.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("times"))
                       .where("a < b").select("h", "times"), "common")  # shingles of several components
     met = grams.join(common, "h").groupBy("cls", "label", "n").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("list"))
@@ -244,10 +244,10 @@ def _rare_pairs(ws: Workspace, open_: DataFrame, sets: DataFrame, done: DataFram
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != part)
     cells = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.transform(others, lambda q: F.least(q, part) * F.col("parts") + F.greatest(q, part)))
-    marks = ws.stage(own.select("cls", "members").mapInArrow(_set_sketches, "cls bigint, sketch array<bigint>"), "marks")
+    marks = ws.stage(own.select("cls", "members").mapInArrow(tidy(_set_sketches), "cls bigint, sketch array<bigint>"), "marks")
     met = (entries.join(keys, "h").join(marks, "cls").select("h", F.explode(cells).alias("cell"), F.struct("cls", "label", "n", "first", "sketch").alias("e"))
            .groupBy("h", "cell").agg(F.collect_list("e").alias("list")).select("list"))
-    pairs = met.mapInArrow(_meeting(min_percent), "x bigint, y bigint").distinct()
+    pairs = met.mapInArrow(tidy(_meeting(min_percent)), "x bigint, y bigint").distinct()
     return pairs.join(done, ["x", "y"], "left_anti")
 
 
@@ -316,7 +316,7 @@ def _grouped(docs: DataFrame, min_percent: int, id_col: str, text_col: str) -> t
             yield pack_two(bit_positions(ids, ID_FILTER_BITS, ID_FILTER_HASHES), np.zeros(0, np.uint64), ID_FILTER_BITS)
 
     sent = spark.sparkContext.broadcast(collect_two(
-        reps.select("doc_id").mapInArrow(positions, "piece int, pos binary, again binary"), ID_FILTER_BITS, ("seen",))[0])
+        reps.select("doc_id").mapInArrow(tidy(positions), "piece int, pos binary, again binary"), ID_FILTER_BITS, ("seen",))[0])
 
     def full_sets(b: pa.RecordBatch) -> pa.RecordBatch:
         ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -399,7 +399,7 @@ def drop_near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT, id_col
                 none[full] = False
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cls, mask=none)], [*part.schema.names, "_cls"])
 
-    kept = (docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_cls", T.LongType())]))
+    kept = (docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("_cls", T.LongType())]))
             .join(gone, (own == F.col("_id")) & (F.col("_cls") == F.col("_c")), "left_anti"))
     again = verdict.where("stays and count > 1").select(F.col("doc_id").alias("_id"), F.col("cls").alias("_c"))
     if again.isEmpty():
