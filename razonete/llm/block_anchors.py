@@ -36,7 +36,7 @@ from .textscan import Words, rolling, run_starts, words
 
 WINDOW, BLOCK = 13, 7
 FILTER_BITS, FILTER_HASHES = 1 << 28, 3  # 32 MB
-SLICE_BYTES = 1 << 18  # text of a slice: its arrays are many times as large
+SLICE_BYTES = 1 << 18  # text of a slice: its arrays are many times as large (filters take larger ones: a slice gives them 64 rows)
 
 
 def _blocks(w: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +64,7 @@ def anchor_filter(docs: DataFrame, block: int = BLOCK, bits: int = FILTER_BITS)
         h, times = np.unique(r[at[one]], return_counts=True)
         return pack_two(bit_positions(h, bits, FILTER_HASHES), bit_positions(h[times > 1], bits, FILTER_HASHES), bits)
 
-    blocks, shared = collect_two(map_batches(docs, index, "piece int, pos binary, again binary", SLICE_BYTES), bits)
+    blocks, shared = collect_two(map_batches(docs, index, "piece int, pos binary, again binary"), bits)
     known = sc.broadcast(blocks)
     del blocks
 
@@ -77,7 +77,7 @@ def anchor_filter(docs: DataFrame, block: int = BLOCK, bits: int = FILTER_BITS)
         at = at[~np.isin(_own(r[at], w.doc[at]), _own(r[own], w.doc[own]))]  # not its own block once more
         return pack_two(bit_positions(np.unique(r[at]), bits, FILTER_HASHES), np.zeros(0, np.uint64), bits)
 
-    found = collect_two(map_batches(docs, probe, "piece int, pos binary, again binary", SLICE_BYTES), bits, ("seen",))[0]
+    found = collect_two(map_batches(docs, probe, "piece int, pos binary, again binary"), bits, ("seen",))[0]
     known.unpersist()
     found |= shared
     return found
