@@ -2,7 +2,8 @@
 
 1. A component x becomes floor(256 * x). The tasks cut their rows into blocks of
    ``BLOCK`` rows, written once; the anchors are gathered into blocks of
-   ``ANCHORS`` rows. Every anchor block meets every row block in one cell.
+   ``ANCHORS`` rows, written too. Every anchor block meets every row block in
+   one cell: a task pairs one part of each, read from the written files.
 2. In a cell, the candidates' components of one dimension are biased to be
    non-negative and set side by side into separated fields of one wide
    integer. For each anchor, every wide integer is multiplied once by the
@@ -14,8 +15,9 @@
    scores known, the cells give for each positive the best rows of other
    labels whose score lies in the window, again at most ``NEGATIVES`` each.
 
-The work is anchors x rows, as asked; a cell's memory is bounded, and the
-blocks are dealt by hash, so no key is hot. Nothing passes through the driver.
+The work is anchors x rows, as asked; a cell's memory is bounded, and parts
+are paired without a key, so none is hot. No blocks pass through the driver:
+a planner that sees the files as small would broadcast every copy of them.
 
 Defined cases: rows with a null label, a null vector or a null or non-finite
 component take no part; shorter vectors count as ending in zeros; rows without
@@ -38,7 +40,6 @@ from .common import stage
 from .vectors import matrix, measured, slices, usable_vectors
 
 BLOCK, ANCHORS = 2048, 512   # rows and anchors of a cell
-GROUP = 4                    # row blocks that share one copy of the anchors
 POSITIVES, NEGATIVES, MIN_PERCENT = 5, 5, 80
 _BLOCKS = "block bigint, ids array<bigint>, labels array<bigint>, anchor array<boolean>, vectors binary"
 _ANCHORS = "uid bigint, vec_id bigint, label bigint, vector binary"
@@ -154,11 +155,10 @@ def _anchor_blocks(anchors: DataFrame, n: int, wanted: str, size: int) -> DataFr
             .repartition(max(1, -(-n // size)), "uid").mapInArrow(run, schema))
 
 
-def _cells(blocks: DataFrame, groups: int, anchors: DataFrame) -> DataFrame:
-    """Every row block beside every anchor block."""
-    rows = blocks.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    copies = anchors.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    return rows.join(copies, "cell").select("block", "ids", "labels", "vectors", "uids", "a_ids", "a_labels", "a_vectors", "wanted")
+def _cells(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Every row block beside every anchor block, never by a broadcast of either."""
+    return blocks.hint("shuffle_replicate_nl").crossJoin(anchors).select(
+        "block", "ids", "labels", "vectors", "uids", "a_ids", "a_labels", "a_vectors", "wanted")
 
 
 def _cell_arrays(cell: tuple, width: int) -> tuple:
@@ -234,14 +234,14 @@ def hard_negatives(df: DataFrame, anchor: Column, min_percent: int = MIN_PERCENT
     width = max(1, width)
     blocks = stage(row_blocks(rows, width, block), "packed-rows")
     anchors = stage(anchor_rows(blocks, width), "packed-anchors")
-    n, groups = anchors.count(), max(1, -(-blocks.count() // GROUP))
+    n = anchors.count()
     none = "cast(null as array<struct<id:bigint,score:bigint>>)"
     own = stage(_anchor_blocks(anchors, n, none, block_anchors), "packed-anchors")
-    found = positive_candidates(_cells(blocks, groups, own), width, positives)
+    found = positive_candidates(_cells(blocks, own), width, positives)
     best = stage(_first(found, ["uid"], "score", "id", positives).groupBy("uid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))), lambda x: F.struct(x.id.alias("id"), x.score.alias("score"))).alias("wanted")),
         "packed-positives")
     own = stage(_anchor_blocks(anchors.join(best, "uid"), n, "wanted", block_anchors), "packed-anchors")
-    found = negative_candidates(_cells(blocks, groups, own), width, min_percent, negatives)
+    found = negative_candidates(_cells(blocks, own), width, min_percent, negatives)
     return _first(found, ["uid", "nth"], "negative_score", "negative_id", negatives).select(
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

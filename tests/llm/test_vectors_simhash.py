@@ -190,6 +190,19 @@ def test_negatives(spark):
     assert sorted(str(tuple(r)) for r in small.collect()) == want
 
 
+def test_negatives_meet_without_broadcast(spark):
+    """Tables that the planner sees as small are not sent to the driver, whatever their number of copies."""
+    rows = odd_vectors(300, 16)
+    used = vectors.usable_vectors(spark.createDataFrame(rows, SCHEMA).where("label is not null"), "vec_id", "embedding", label=F.col("label").cast("long"),
+                                  anchor=F.coalesce(F.col("vec_id") % 10 == 0, F.lit(False)))
+    blocks = packed_negatives.stage(packed_negatives.row_blocks(used, 16, 37), "rows")
+    anchors = packed_negatives.anchor_rows(blocks, 16)
+    own = packed_negatives.stage(packed_negatives._anchor_blocks(anchors, anchors.count(), "cast(null as array<struct<id:bigint,score:bigint>>)", 4), "anchors")
+    cells = packed_negatives._cells(blocks, own)
+    assert "Broadcast" not in cells._jdf.queryExecution().executedPlan().toString()
+    assert cells.count() == cells.select("block", "uids").distinct().count() == blocks.count() * own.count() > 1
+
+
 def test_negatives_small_tables(spark):
     for rows in ([], [(100, None, 1)], [(100, [1.0], 1)], [(100, [1.0], None), (200, [1.0], 1)], [(100, [1.0], 1), (1, [1.0], 1)], [(1, [1.0], 1), (2, [1.0], 2)]):
         assert packed_negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0).count() == 0
