@@ -20,6 +20,7 @@ NEW = "NOVO_"  # prefix of the requested value of a column in an edit set
 # --- fixed values: how a missing old value is written in the change list ----
 NONE_TEXT = "None"
 NOT_FOUND = "Registro não encontrado"
+HIT = "_hit"  # marks the records that an edit was found for
 # -----------------------------------------------------------------------------
 
 
@@ -62,13 +63,13 @@ def edit_diff(ledger: DataFrame, edits: DataFrame) -> DataFrame:
     Fields are compared null-safely in the reference's order; VALOR is shown
     unquoted; an empty ALTERACOES means nothing would change.
     """
-    edits = one_edit_per_key(edits)
-    old = ledger.select(*KEYS, *[F.col(c).alias(f"_old_{c}") for c in EDITABLE])
-    joined = edits.join(old, KEYS, "inner")
-    changes = F.concat_ws(", ", *[
-        _change(c, F.col(f"_old_{c}"), F.col(f"{NEW}{c}")) for c in EDITABLE
-    ])
-    return joined.select(
+    return changes_of(ledger.join(one_edit_per_key(edits), KEYS, "inner"))
+
+
+def changes_of(hits: DataFrame) -> DataFrame:
+    """The change list of records joined with their edits."""
+    changes = F.concat_ws(", ", *[_change(c, F.col(c), F.col(f"{NEW}{c}")) for c in EDITABLE])
+    return hits.select(
         *KEYS,
         *[F.col(f"{NEW}{c}") for c in ("N_CONTA", "N_CENTRO_CUSTO")],
         changes.alias("ALTERACOES"),
@@ -92,9 +93,18 @@ def apply_edits(ledger: DataFrame, edits: DataFrame, as_of=None) -> DataFrame:
 
     DATA and VERSAO are never changed. Rows without an edit are untouched.
     """
-    e = one_edit_per_key(edits).withColumn("_hit", F.lit(True))
-    joined = ledger.join(e, KEYS, "left")
-    hit = F.col("_hit").isNotNull()
+    return edited(with_edits(ledger, one_edit_per_key(edits)), as_of)
+
+
+def with_edits(ledger: DataFrame, edits: DataFrame) -> DataFrame:
+    """Every record with the values asked for it, null and not marked where no edit has its key; ``edits``: one a key."""
+    return ledger.join(edits.withColumn(HIT, F.lit(True)), KEYS, "left").select(
+        *LEDGER_COLUMNS, *[f"{NEW}{c}" for c in EDITABLE], F.col(HIT).isNotNull().alias(HIT))
+
+
+def edited(joined: DataFrame, as_of=None) -> DataFrame:
+    """The records of :func:`with_edits` after their edits."""
+    hit = F.col(HIT)
     if as_of is None:
         ts = F.col("DATA_ATUALIZACAO")
     else:
@@ -113,14 +123,19 @@ def apply_edits(ledger: DataFrame, edits: DataFrame, as_of=None) -> DataFrame:
 def edit_key_collisions(ledger: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits whose new account / cost centre would collide with another record, or with another edit's new key."""
     found = one_edit_per_key(edits).join(ledger.select(*KEYS).distinct(), KEYS, "left_semi")
-    rekeyed = found.where(
+    new = rekeyed(found)
+    twice = new.groupBy(*KEYS).count().where("count > 1").select(*KEYS)
+    return new.join(ledger.select(*KEYS), KEYS, "left_semi").unionByName(twice).distinct()
+
+
+def rekeyed(found: DataFrame) -> DataFrame:
+    """The new keys of edits that change theirs."""
+    return found.where(
         ~F.col(f"{NEW}N_CONTA").eqNullSafe(F.col("N_CONTA"))
         | ~F.col(f"{NEW}N_CENTRO_CUSTO").eqNullSafe(F.col("N_CENTRO_CUSTO"))
     ).select(
         F.col(f"{NEW}N_CONTA").alias("N_CONTA"), F.col(f"{NEW}N_CENTRO_CUSTO").alias("N_CENTRO_CUSTO"), "DATA", "VERSAO"
     )
-    twice = rekeyed.groupBy(*KEYS).count().where("count > 1").select(*KEYS)
-    return rekeyed.join(ledger.select(*KEYS), KEYS, "left_semi").unionByName(twice).distinct()
 
 
 def delete_keys(ledger: DataFrame, keys: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ the reference's delete-by-filters; the audit is appended after the commit,
 the same order the reference uses. Snapshots are immutable, so the audit is
 computed lazily from the pre-change snapshot even after the commit: nothing
 but per-version counts reaches the driver. Every commit also writes its change
-table (row images before and after, ``AuditLog.images``) from its two snapshots.
+table (row images before and after, ``AuditLog.images``): a delete's from its two
+snapshots, an edit's from the rows it found, as all others stay as they were.
+An edit set meets the ledger in one join, written once: the new state, the counts,
+the audit and the change table read that.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from ..operators import mutate as MU
 from ..operators.changes import row_images
 from ..operators.query import Filters, predicate
 from ..schema import KEYS
-from ..sources.store import AuditLog, LedgerStore
+from ..sources.store import COMPACT, AuditLog, LedgerStore, stage
 
 
 class KeyCollision(ValueError):
@@ -35,17 +38,20 @@ def _versions(df: DataFrame) -> list[str]:
 
 def edit_records(store: LedgerStore, audit_log: AuditLog, edits: DataFrame, ctx: A.AuditContext) -> int:
     """M1-M3 + A2: apply an edit set; returns the number of records found and updated."""
-    edits = MU.one_edit_per_key(edits)  # one set for the collision check, the update and the audit
+    edits = stage(MU.one_edit_per_key(edits), "edits")  # one set for the collision check, the update and the audit
     versions = _versions(edits)
     current = store.read(versions)
-    if MU.edit_key_collisions(current, edits).limit(1).count() > 0:
+    joined = stage(MU.with_edits(current, edits), "with-edits", **COMPACT)
+    hits = joined.where(MU.HIT)
+    found = hits.count()
+    # an edit that keeps its key collides with nothing
+    if not MU.rekeyed(hits).isEmpty() and MU.edit_key_collisions(current, edits).limit(1).count() > 0:
         raise KeyCollision("an edit would duplicate the key of an existing record")
-    found = current.join(edits.select(*KEYS).distinct(), KEYS, "left_semi").count()
     if found == 0:
         return 0
-    snapshot = store.commit(MU.apply_edits(current, edits, as_of=ctx.as_of), touched=versions, as_of=ctx.as_of)
-    audit_log.append(A.audit_edit(MU.edit_diff(current, edits), ctx))
-    audit_log.put_images(row_images(current, store.read(versions)), snapshot)
+    snapshot = store.commit(MU.edited(joined, ctx.as_of), touched=versions, as_of=ctx.as_of, written=True)
+    audit_log.append(A.audit_edit(MU.changes_of(hits), ctx))
+    audit_log.put_images(row_images(hits, MU.edited(hits, ctx.as_of)), snapshot)
     return found
 
 

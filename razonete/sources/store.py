@@ -45,6 +45,7 @@ LOG_SCHEMA = T.StructType([
     T.StructField("COLUNAS", T.StringType(), True),  # the directory's columns and types; null: LEDGER_SCHEMA
 ])
 PART = "PARTICAO"  # partition column: a digest of VERSAO, so any text (the empty one too) is a version
+COMPACT = {"compression": "zstd"}  # for tables of whole rows that are written once and read a few times
 EMPTY_MARK = None  # a snapshot row with VERSAO = null records a commit that left no version
 
 
@@ -156,12 +157,13 @@ class LedgerStore:
 
     # --------------------------------------------------------------- commit
     def commit(self, rows: DataFrame, touched, removed=(), lote: str | None = None,
-               as_of: _dt.datetime | None = None) -> int:
+               as_of: _dt.datetime | None = None, written: bool = False) -> int:
         """Publish a snapshot where the versions in ``touched`` hold ``rows``.
 
         ``rows`` must contain every row of the touched versions (it replaces
         them); versions in ``removed`` disappear; other versions are carried
-        by reference. Returns the new snapshot id.
+        by reference. ``written``: the rows are read from files as they are, with
+        no join or aggregate behind them. Returns the new snapshot id.
         """
         sid = self.snapshot_id() + 1
         # a unique folder per attempt: a commit that died before its log row was
@@ -173,7 +175,7 @@ class LedgerStore:
             out = (rows.select(*self.schema.names).withColumn("VERSAO", F.coalesce("VERSAO", F.lit("")))
                    .where(F.col("VERSAO").isin(sorted(touched))).withColumn(PART, F.md5("VERSAO")))
             # arranging reads its rows three times (quantiles, range borders, exchange): a merge or an edit runs once
-            write_clustered(stage(out, "commit"), directory, PART, self.page_rows)
+            write_clustered(out if written else stage(out, "commit", **COMPACT), directory, PART, self.page_rows)
             kept = T.StructType([*self.schema.fields, T.StructField(PART, T.StringType(), True)])
             parts = {r[PART] for r in self.spark.read.schema(kept).parquet(directory).select(PART).distinct().collect()}
             written = {v for v in touched if part_of(v) in parts}

@@ -57,3 +57,28 @@ def test_kept_totals_equal_recomputed_ones(spark, before, after):
     b, a = spark.createDataFrame(before, SCHEMA), spark.createDataFrame(after, SCHEMA)
     kept = RP.totals_of_leaves(RP.updated_leaves(RP.category_leaves(b), RP.changed_leaves(row_images(b, a))))
     assert multiset(kept) == multiset(RP.totals_by_category(a).select(*kept.columns))
+
+
+def test_an_edit_compares_and_joins_only_once(spark, tmpdir_path, monkeypatch):
+    """The change table of an edit reads the rows it found, not two whole states; it replays, also with repeats and moved keys."""
+    from razonete.operators.audit import AuditContext
+    from razonete.plans import maintenance
+    from razonete.schema import EDITABLE, KEYS
+    from razonete.sources.store import AuditLog, LedgerStore
+
+    store, audit = LedgerStore(spark, f"{tmpdir_path}/ledger"), AuditLog(spark, f"{tmpdir_path}/audit")
+    rows = [row("edit", 2.0), row("twice", 3.0), row("twice", 3.0), row("moved", 7.5), row("there", 7.5), row(None, 4.0), *[row(f"k{i}") for i in range(50)]]
+    store.replace_all(spark.createDataFrame(rows, SCHEMA))
+    first = store.read()
+    edits = first.where("N_CONTA in ('edit', 'twice', 'moved')").distinct().selectExpr(
+        *KEYS, *[f"{'VALOR + 1' if c == 'VALOR' else 'if(N_CONTA = \"moved\", \"to\", N_CONTA)' if c == 'N_CONTA' else c} AS NOVO_{c}" for c in EDITABLE])
+    seen = []
+    plain = maintenance.row_images
+    monkeypatch.setattr(maintenance, "row_images", lambda b, a: seen.append((b.count(), a.count())) or plain(b, a))
+    assert maintenance.edit_records(store, audit, edits, AuditContext(as_of=NOW)) == 4
+    assert seen == [(4, 4)]
+    assert multiset(replay(first, audit.images())) == multiset(store.read())
+    assert Counter(r.N_CONTA for r in store.read().collect()) == Counter(["to" if r[0] == "moved" else r[0] for r in rows])
+    collide = first.where("N_CONTA = 'edit'").selectExpr(*KEYS, *[f"{chr(39) + 'there' + chr(39) if c == 'N_CONTA' else c} AS NOVO_{c}" for c in EDITABLE])
+    with pytest.raises(maintenance.KeyCollision):
+        maintenance.edit_records(store, audit, collide, AuditContext(as_of=NOW))
