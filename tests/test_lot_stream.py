@@ -64,3 +64,19 @@ def test_outputs_of_lots(spark, tmpdir_path):
         ("bom.csv", "ACEITO", None, 2, 2), ("curto.csv", "REJEITADO", "CENTRO_CUSTO", 1, 0), ("ruim.csv", "REJEITADO", "ERROS", 2, 0),
         ("sem.csv", "REJEITADO", "COLUNAS", 1, 0)]
     assert sorted(r.ERRO for r in res.errors.where("CAMPO = 'FILIAL'").collect()) == ["Linha 4: Filial deve ter 4 dígitos"]
+
+
+def test_lots_are_dealt_by_the_source_columns(spark):
+    """The landed lots move as the source's columns, before they become text; a lot stays whole and no line is lost."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from razonete.plans import fixtures as fx
+
+    plain, dealt = fx.raw_by_order(spark, "/root/testdata/sf0.001"), fx.raw_by_order(spark, "/root/testdata/sf0.001", 5)
+    assert "hashpartitioning(l_orderkey" in dealt._jdf.queryExecution().executedPlan().toString()
+    placed = dealt.withColumn("_p", F.spark_partition_id())
+    assert placed.groupBy("ARQUIVO").agg(F.count_distinct("_p").alias("n")).where("n > 1").isEmpty()
+    assert 1 < placed.select("_p").distinct().count() <= 5
+    assert Counter(map(tuple, dealt.collect())) == Counter(map(tuple, plain.collect()))
